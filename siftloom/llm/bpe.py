@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from siftloom.llm.arrow import per_row
 
 #: Entries of each of a worker's memories (chunks, pieces, prefixes, token pairs).
-CACHE = 200_000
+CACHE = 100_000
 
 #: A pattern whose pieces hold a space before a non-space only as their first byte, so that texts can be cut there.
 SPACE_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

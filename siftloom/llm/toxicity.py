@@ -115,16 +115,16 @@ class Chain:
         return out
 
 
-def train(rows: list[list[str]], labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
-    """Fit a chain. ``labels`` is (rows, categories) of 0 and 1; ``fold`` numbers the rows' folds.
+def train(rows: pa.ListArray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
+    """Fit a chain. ``rows``: distinct words of each; ``labels`` is (rows, categories) of 0 and 1; ``fold`` numbers folds.
 
     The threshold of a category is the out-of-fold score with the greatest F1. Without rows, or with one class, a model
     keeps only its bias.
     """
-    words = sorted({w for r in rows for w in r})
-    ids = {w: i for i, w in enumerate(words)}
-    cols = np.fromiter((ids[w] for r in rows for w in r), np.int64)
-    x = Rows(cols, np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64), max(len(words), 1))
+    sizes = rows.value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
+    coded = rows.flatten().dictionary_encode()  # words stay in Arrow memory
+    words = coded.dictionary
+    x = Rows(coded.indices.to_numpy().astype(np.int64), np.r_[0, np.cumsum(sizes)].astype(np.int64), max(len(words), 1))
     chain = Chain(categories)
     oof = np.zeros((len(rows), 0))
     weights = np.zeros((x.width, len(categories)))
@@ -148,7 +148,7 @@ def train(rows: list[list[str]], labels: np.ndarray, fold: np.ndarray, categorie
         chain.threshold.append(float((own[order][best] + (own[order][best + 1] if best + 1 < len(y) else 0)) / 2) if len(y) and y.any() else 2.0)
         oof = np.column_stack([oof, own])
     used = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
-    chain.words = {words[i]: n for n, i in enumerate(used)}
+    chain.words = {words[int(i)].as_py(): n for n, i in enumerate(used)}
     chain.weights, chain.oof = weights[used], oof
     return chain
 
@@ -167,9 +167,10 @@ def fit_chain(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     table = joined.select("k", "h", *categories, "text").mapInArrow(run, f"k long, h long, {', '.join(f'{c} int' for c in categories)}, words array<string>").limit(2 * max_train).toArrow()
     table = table.sort_by([("h", "ascending"), ("k", "ascending")])
-    rows = table.column("words").to_pylist()
-    y = np.column_stack([table.column(c).to_numpy() for c in categories]) if rows else np.zeros((0, len(categories)))
-    fold = np.abs(table.column("h").to_numpy() // 7) % FOLDS if rows else np.zeros(0, int)
+    rows = table.column("words").combine_chunks()
+    y = np.column_stack([table.column(c).to_numpy() for c in categories]) if len(rows) else np.zeros((0, len(categories)))
+    fold = np.abs(table.column("h").to_numpy() // 7) % FOLDS
+    del table
     return train(rows, y, fold, categories)
 
 
@@ -181,6 +182,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     """
     added = [*[f"p_{c}" for c in chain.categories], "rejected"]
     keep = [c for c in docs.columns if c not in added]
+    chain = Chain(chain.categories, chain.words, chain.weights, chain.extra, chain.bias, chain.threshold)
     sent = docs.sparkSession.sparkContext.broadcast(chain)  # at most the words of max_train rows
     schema = ", ".join([*[f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"`{c}` double" for c in added[:-1]], "rejected boolean"])
 
