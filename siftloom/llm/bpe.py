@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from siftloom.llm.arrow import per_row
 
-#: Entries of each of a worker's memories (chunks, pieces, prefixes, token pairs).
-CACHE = 100_000
+#: Entries of a worker's memories; chunks, pieces and pairs of tokens have two generations of so many.
+CHUNKS, PIECES, PAIRS, PREFIXES = 300_000, 50_000, 400_000, 400_000
 
 #: A pattern whose pieces hold a space before a non-space only as their first byte, so that texts can be cut there.
 SPACE_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,7 +32,7 @@ SPACE_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 class _Memo(dict):
     """Remembers ``fn`` in two generations: when the young one is full it becomes the old one, whose used entries return."""
 
-    def __init__(self, fn, limit: int = CACHE):
+    def __init__(self, fn, limit: int):
         super().__init__()
         self.fn, self.limit, self.old = fn, limit, {}
 
@@ -59,11 +59,16 @@ class Codec:
         self.tails = {t[i:] for t in ranks for i in range(len(t))}
         self.split = regex.compile(pattern).findall
         self.cut = re.compile(r" (?=\S)").split if pattern == SPACE_FIRST else lambda text: [text]
-        self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))))
-        self.chunks = _Memo(lambda chunk: tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk)))))
+        self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), PIECES)
+        self.chunks = _Memo(self._chunk, CHUNKS)
         self.prefixes: dict[bytes, int] = {}
-        self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]))
-        self.alone = _Memo(lambda t: self._merge(self.bytes_of[t]) == [0])
+        self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), PAIRS)
+        self.alone = _Memo(lambda t: self._merge(self.bytes_of[t]) == [0], PAIRS)
+
+    def _chunk(self, chunk: str) -> tuple[int, ...]:
+        if chunk.isalpha():  # a space and letters are one piece
+            return tuple(self.encode_piece(b" " + chunk.encode()))
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk))))
 
     def _merge(self, data: bytes, seam: int = 0) -> list[int] | None:
         """The merge rule itself, for the few bytes of one or two tokens: where the parts start.
@@ -94,29 +99,27 @@ class Codec:
 
         Entries of short prefixes are remembered, since the words of a corpus share them.
         """
-        prefixes, get = self.prefixes, self.prefixes.get
+        prefixes, ranks, tails, alone, pairs = self.prefixes, self.ranks, self.tails, self.alone, self.pairs
         for i in range(len(last), len(data) + 1):
-            if i > 31:
-                last.append(self._last(data, i, last))
-            elif (t := get(data[:i])) is None:
-                last.append(t := self._last(data, i, last))
-                if len(prefixes) >= 2 * CACHE:
-                    prefixes.clear()
-                prefixes[data[:i]] = t
+            head = data[:i] if i < 32 else b""
+            if head in prefixes:
+                last.append(prefixes[head])
+                continue
+            j = i - 1
+            while j > 0 and data[j - 1 : i] in tails:
+                j -= 1
+            while j < i:  # from the longest token that ends here to the shortest
+                t = ranks.get(data[j:i])
+                if t is not None and alone[t] and (not j or pairs[last[j] << 32 | t]):
+                    break
+                j += 1
             else:
-                last.append(t)
-
-    def _last(self, data: bytes, i: int, last: list[int]) -> int:
-        ranks, tails = self.ranks, self.tails
-        j, ends = i - 1, []
-        while j >= 0 and (tail := data[j:i]) in tails:
-            if tail in ranks:
-                ends.append((j, ranks[tail]))
-            j -= 1
-        for j, t in reversed(ends):
-            if self.alone[t] and (not j or self.pairs[last[j] << 32 | t]):
-                return t
-        raise ValueError(f"no token ends at byte {i} of {data[:i][-20:]!r}")
+                raise ValueError(f"no token ends at byte {i} of {data[:i][-20:]!r}")
+            last.append(t)
+            if head:
+                if len(prefixes) >= PREFIXES:
+                    prefixes.clear()
+                prefixes[head] = t
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
         out, i = [], len(data)
