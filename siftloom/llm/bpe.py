@@ -12,6 +12,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import pyarrow as pa
@@ -56,7 +57,6 @@ class Codec:
         for token, r in ranks.items():
             self.bytes_of[r] = token
         self.names = [str(i) for i in range(len(self.bytes_of))]
-        self.tails = {t[i:] for t in ranks for i in range(len(t))}
         self.split = regex.compile(pattern).findall
         self.cut = re.compile(r" (?=\S)").split if pattern == SPACE_FIRST else lambda text: [text]
         self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), PIECES)
@@ -65,6 +65,11 @@ class Codec:
         self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), PAIRS)
         self.alone = _Memo(lambda t: self._merge(self.bytes_of[t]) == [0], PAIRS)
 
+    @cached_property
+    def tails(self) -> set[bytes]:
+        """Every ending of every token."""
+        return {t[i:] for t in self.ranks for i in range(len(t))}
+
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         if chunk.isalpha():  # a space and letters are one piece
             return tuple(self.encode_piece(b" " + chunk.encode()))
@@ -221,6 +226,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
                 part = batch.slice(start, 1000)
                 out = pa.array([c.encode(x.as_py()) for x in part.column(text)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [out], names=[*keep, ids])
+        _codecs.clear()  # a worker serves later stages too; its memories go with the task
 
     return df.select(*keep, F.col(text)).mapInArrow(run, schema)
 
@@ -235,6 +241,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
         for batch in batches:
             got = [None if (v := x.as_py()) is None else c.decode(v) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got, pa.binary())], names=[*keep, out])
+        _codecs.clear()
 
     return df.select(*keep).mapInArrow(run, schema)
 
