@@ -140,7 +140,10 @@ def test_change_points(spark):
 
 
 def test_disks():
-    kinds = lambda k: [x[3] for x in disks.fragments(len(d := catalog.sample_disk(k)), lambda o, n: d[o : o + n])]
+    def kinds(k):
+        d = catalog.sample_disk(k)
+        return [x[3] for x in disks.fragments(len(d), lambda o, n: d[o : o + n])]
+
     assert kinds("mbr") == [1, 5, 2] and kinds("gap") == [1, 5, 2, 8] and kinds("gpt") == [] and kinds("unknown") == [7]
     assert disks.fragment_type(0x0B) == 4 and disks.fragment_type(0x0B, compat=False) == 3
 
