@@ -1,7 +1,7 @@
 """Media columns: texts as 8-bit sound members of archives, and a data source that reads archives by byte range.
 
-``write_archives`` packs WAV members (unsigned 8-bit samples, mono) into stored ZIP archives in a shared folder: one
-archive a task attempt, rolled over at ``roll_bytes``, renamed into place when whole, so a lost task leaves nothing that
+``write_archives`` packs WAV members (unsigned 8-bit samples, mono) into ZIP archives (each member deflated by itself)
+in a shared folder: one archive a task attempt, rolled over at ``roll_bytes``, renamed into place when whole, so a lost task leaves nothing that
 is read. The returned table lists the archives of successful attempts; only those are read.
 
 ``ArchiveSource`` (format ``media_archive``) plans partitions of ``split_bytes`` over the archives' sizes without opening
@@ -31,6 +31,7 @@ from siftloom.session import materialize, new_path
 
 UNIT = 576
 RATE = 8000
+LEVEL = 1  # of the archives' lossless compression
 LOCAL_HEADER = 30  # bytes of a ZIP member's header before its name
 
 
@@ -94,9 +95,10 @@ class _Out:
     def add(self, key: int | None, n_bytes: int, data: bytes) -> None:
         info = zipfile.ZipInfo(f"{self.n:09d}.wav")
         info.comment = struct.pack("<?qQ", key is None, key or 0, n_bytes)
+        info.compress_type, info.compress_level = zipfile.ZIP_DEFLATED, LEVEL
         with self.zip.open(info, "w", force_zip64=True) as f:
             f.write(data)
-        self.n, self.bytes = self.n + 1, self.bytes + len(data) + 200
+        self.n, self.bytes = self.n + 1, self.raw.tell()
 
     def close(self) -> tuple[str, int, int]:
         self.zip.close()
@@ -192,11 +194,13 @@ class _Reader(DataSourceReader):
                     raise OSError("no member header")
                 name, extra = struct.unpack_from("<HH", head, 26)
                 g.seek(info.header_offset + LOCAL_HEADER + name + extra)
-                data = g.read(info.file_size)
+                data = g.read(info.compress_size)
+                if info.compress_type == zipfile.ZIP_DEFLATED:
+                    data = zlib.decompress(data, -15)
                 if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
                     raise OSError("member is damaged")
                 return data
-            except OSError as e:
+            except (OSError, zlib.error) as e:
                 if tried == self.retries:
                     raise OSError(f"{path} at {info.header_offset}: {e}") from e
                 time.sleep(0.05 * 2**tried)
