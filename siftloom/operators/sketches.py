@@ -31,20 +31,17 @@ WEIGHTS: dict[str, Callable[[Column], Column]] = {"log": log_weight, "one": lamb
 def simhash128(features: DataFrame, by: tuple[str, ...], weight: str = "weight", digest: str = "md5") -> DataFrame:
     """``by`` and simhash (32 hex digits): bit i is set if the signed weights of the digests' bits i sum above zero.
 
-    128 sums in one aggregation, combined before the shuffle, so one row of sums a task and object is shuffled.
+    Each digest gives 64 rows of two signed weights, summed by bit and combined before the shuffle, so an object shuffles
+    at most 64 rows a task. (128 sums in one aggregation outgrow generated code and run several times slower.)
     """
     hi, lo = halves(F.col(digest))
     base = features.where(F.col(digest).isNotNull()).select(*by, F.col(weight).cast("long").alias("__w"), hi.alias("__hi"), lo.alias("__lo"))
-    sums = [F.sum(F.when(F.getbit(F.col(h), F.lit(63 - i)) == 1, F.col("__w")).otherwise(-F.col("__w"))).alias(f"{h}{i}") for h in ("__hi", "__lo") for i in range(64)]
-    got = base.groupBy(*by).agg(*sums)
-
-    def half(h: str) -> Column:
-        word = F.lit(0).cast("long")
-        for i in range(64):
-            word = word.bitwiseOR(F.when(F.col(f"{h}{i}") > 0, F.lit(1 << (63 - i) if i else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.lower(F.lpad(F.hex(word), 16, "0"))
-
-    return got.select(*by, F.concat(half("__hi"), half("__lo")).alias("simhash"))
+    each = base.select(*by, "__w", "__hi", "__lo", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__i"))
+    signed = lambda h: F.sum(F.when(F.getbit(F.col(h), F.col("__i")) == 1, F.col("__w")).otherwise(-F.col("__w")))
+    sums = each.groupBy(*by, "__i").agg(signed("__hi").alias("__h"), signed("__lo").alias("__l"))
+    bit = lambda s: F.bit_or(F.when(F.col(s) > 0, F.expr("shiftleft(1L, __i)")).otherwise(F.lit(0).cast("long")))
+    packed = sums.groupBy(*by).agg(bit("__h").alias("__h"), bit("__l").alias("__l"))
+    return packed.select(*by, F.concat(*[F.lower(F.lpad(F.hex(F.col(c)), 16, "0")) for c in ("__h", "__l")]).alias("simhash"))
 
 
 def block_simhash(blocks: DataFrame, by: tuple[str, ...], weight: str = "log", everyone: DataFrame | None = None) -> DataFrame:
