@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from siftloom.llm.arrow import per_row
 
 #: Entries of a worker's memories; chunks, pieces and pairs of tokens have two generations of so many.
-CHUNKS, PIECES, PAIRS, PREFIXES = 300_000, 50_000, 400_000, 400_000
+CHUNKS, PIECES, PAIRS, MOVES = 300_000, 50_000, 400_000, 200_000
 
 #: A pattern whose pieces hold a space before a non-space only as their first byte, so that texts can be cut there.
 SPACE_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -61,14 +61,31 @@ class Codec:
         self.cut = re.compile(r" (?=\S)").split if pattern == SPACE_FIRST else lambda text: [text]
         self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), PIECES)
         self.chunks = _Memo(self._chunk, CHUNKS)
-        self.prefixes: dict[bytes, int] = {}
+        self.sizes = list(map(len, self.bytes_of))
         self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), PAIRS)
-        self.alone = _Memo(lambda t: self._merge(self.bytes_of[t]) == [0], PAIRS)
+        self.moves = _Memo(lambda key: self._move(self.heads[key >> 8] + bytes((key & 255,))), MOVES)
+        self.ending = _Memo(self._ending, PAIRS)
 
     @cached_property
-    def tails(self) -> set[bytes]:
-        """Every ending of every token."""
-        return {t[i:] for t in self.ranks for i in range(len(t))}
+    def heads(self) -> list[bytes]:
+        """Every beginning of every token; the automaton's states are their numbers, and 0 is the empty one."""
+        return sorted({t[:i] for t in self.ranks for i in range(len(t) + 1)})
+
+    @cached_property
+    def states(self) -> dict[bytes, int]:
+        return {h: k for k, h in enumerate(self.heads)}
+
+    def _move(self, data: bytes) -> int:
+        """State of the longest ending of ``data`` that some token begins with."""
+        while data not in self.states:
+            data = data[1:]
+        return self.states[data]
+
+    def _ending(self, state: int) -> tuple[int, ...]:
+        """Tokens that a state's bytes end with, the longest first, without those that never stand in an encoding."""
+        data = self.heads[state]
+        found = (self.ranks.get(data[i:]) for i in range(len(data)))
+        return tuple(t for t in found if t is not None and self._merge(self.bytes_of[t]) == [0])
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         if chunk.isalpha():  # a space and letters are one piece
@@ -100,31 +117,20 @@ class Codec:
         return left + right not in self.ranks and self._merge(left + right, len(left)) is not None
 
     def fill(self, data: bytes, last: list[int]) -> None:
-        """Extend ``last`` (last[i]: the last token of data[:i]; last[0] is -1) to all of ``data``.
-
-        Entries of short prefixes are remembered, since the words of a corpus share them.
-        """
-        prefixes, ranks, tails, alone, pairs = self.prefixes, self.ranks, self.tails, self.alone, self.pairs
-        for i in range(len(last), len(data) + 1):
-            head = data[:i] if i < 32 else b""
-            if head in prefixes:
-                last.append(prefixes[head])
-                continue
-            j = i - 1
-            while j > 0 and data[j - 1 : i] in tails:
-                j -= 1
-            while j < i:  # from the longest token that ends here to the shortest
-                t = ranks.get(data[j:i])
-                if t is not None and alone[t] and (not j or pairs[last[j] << 32 | t]):
+        """Extend ``last`` (last[i]: the last token of data[:i]; last[0] is -1) to all of ``data``."""
+        moves, ending, sizes, pairs = self.moves, self.ending, self.sizes, self.pairs
+        i = len(last)
+        state = self._move(data[: i - 1][-max(sizes) :]) if i > 1 else 0
+        for byte in data[i - 1 :]:
+            state = moves[state << 8 | byte]
+            for t in ending[state]:
+                j = i - sizes[t]
+                if not j or pairs[last[j] << 32 | t]:
                     break
-                j += 1
             else:
                 raise ValueError(f"no token ends at byte {i} of {data[:i][-20:]!r}")
             last.append(t)
-            if head:
-                if len(prefixes) >= PREFIXES:
-                    prefixes.clear()
-                prefixes[head] = t
+            i += 1
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
         out, i = [], len(data)
@@ -190,24 +196,21 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(data: bytes, pattern: str) -> Codec:
-    """One codec per worker process and vocabulary."""
-    key = (hashlib.md5(data).hexdigest(), pattern)
-    if key not in _codecs:
-        _codecs[key] = Codec(read_ranks(data), pattern)
-    return _codecs[key]
-
-
 class Vocabulary:
     """A vocabulary file read on the driver and broadcast (its size is that of the file, about 1 MB)."""
 
     def __init__(self, spark: SparkSession, path: str, pattern: str):
         with open(path, "rb") as f:
-            self.sent = spark.sparkContext.broadcast(f.read())
+            data = f.read()
+        self.sent = spark.sparkContext.broadcast(data)
+        self.key = (hashlib.md5(data).hexdigest(), pattern)
         self.pattern = pattern
 
     def codec(self) -> Codec:
-        return codec(self.sent.value, self.pattern)
+        """One codec per worker process and vocabulary."""
+        if self.key not in _codecs:
+            _codecs[self.key] = Codec(read_ranks(self.sent.value), self.pattern)
+        return _codecs[self.key]
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
