@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftloom.llm import bpe, lengths, licenses, media, mixing, simhash, substrings, toxicity, urls, vectors
+from siftloom.session import materialize
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,7 +61,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = bpe.token_counts(_table(spark, sf_dir, "documents"), vocabulary(spark))
-    return lengths.suffix_sums(lengths.histogram(counts))
+    return lengths.suffix_sums(materialize(lengths.histogram(counts), "lengths"))  # read twice; stored, it is counted once
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
