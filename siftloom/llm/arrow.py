@@ -6,6 +6,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+#: Bytes of a batch of texts. Spark's default of 64 MiB is held several times over by each task: in the JVM's Arrow
+#: buffers, on its way, and in Python.
+BATCH_BYTES = 8 << 20
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def texts(df: DataFrame) -> DataFrame:
+    """``df``, whose rows hold whole texts and go to Python next: lowers the session's bytes per Arrow batch to BATCH_BYTES.
+
+    Only the size of batches changes, no row; a smaller setting stays. A text longer than the limit is a batch of its own.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(_LIMIT, str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+        conf.set(_LIMIT, str(BATCH_BYTES))
+    return df
 
 
 def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] = (), max_bytes: int = 16 << 20) -> Callable:
@@ -31,25 +48,26 @@ def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] =
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows from sorted batches that never cut a run of equal ``keys``.
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows or ``size`` bytes from sorted batches that never cut a run of equal ``keys``.
 
-    A run longer than ``rows`` comes whole; callers bound their runs by chunking hot keys before the shuffle.
+    A longer run comes whole; callers bound their runs by chunking hot keys before the shuffle.
     """
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
+        held_bytes += batch.nbytes
+        if n >= rows or held_bytes >= size:
             table = pa.Table.from_batches(held)
             cut = int(starts(table, keys)[-1])
             if cut:
                 yield table.slice(0, cut)
                 rest = table.slice(cut).combine_chunks()
-                held, n = rest.to_batches(), rest.num_rows
+                held, n, held_bytes = rest.to_batches(), rest.num_rows, rest.nbytes
     if held:
         yield pa.Table.from_batches(held)
 

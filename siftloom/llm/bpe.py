@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftloom.llm.arrow import per_row
+from siftloom.llm.arrow import per_row, texts
 
 #: Entries of a worker's memories; chunks, pieces and pairs of tokens have two generations of so many.
 CHUNKS, PIECES, PAIRS, MOVES = 300_000, 50_000, 400_000, 200_000
@@ -231,7 +231,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str =
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [out], names=[*keep, ids])
         _codecs.clear()  # a worker serves later stages too; its memories go with the task
 
-    return df.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return texts(df.select(*keep, F.col(text))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -265,7 +265,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text:
         named = ",".join(map(c.names.__getitem__, ids))
         return len(ids), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-    out = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(per_row(one, schema, "text", keep=("key",)), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = texts(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(per_row(one, schema, "text", keep=("key",)), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
@@ -279,4 +279,4 @@ def token_counts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out:
             got = pa.array([c.count(x.as_py()) for x in batch.column("__text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [got], names=[*keep, out])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return texts(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import per_row, runs, starts
+from siftloom.llm.arrow import per_row, runs, starts, texts
 from siftloom.llm.text import words
 from siftloom.operators.components import components
 from siftloom.session import materialize, maybe_broadcast
@@ -55,7 +55,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         return (f - (1 << 64) if f >> 63 else f,)
 
     source = df.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col(text).alias("__text"))
-    return source.mapInArrow(per_row(one, schema, "__text", keep=keep), ", ".join(f"{c} long" for c in (*keep, "fp")))
+    return texts(source).mapInArrow(per_row(one, schema, "__text", keep=keep), ", ".join(f"{c} long" for c in (*keep, "fp")))
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
