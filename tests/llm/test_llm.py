@@ -214,6 +214,35 @@ def test_many_copies_over_partitions(spark):
     assert {r.doc_id for r in found} == set(range(1, 120)) and {r.other_id for r in found} == {0}
 
 
+def test_exact_repeats_equal_brute_force(spark):
+    """Words in a run of 50 words that an earlier document holds are reported, whatever its parts occur in before, but for
+    fewer than five words next to a passage."""
+    r, p = random.Random(60), words(60, 61)
+    t = [p[:40] + words(70, 62), words(30, 63) + p[24:], words(20, 64) + p + words(25, 65), words(33, 66) + p + words(8, 67)]
+    pool = [words(r.randint(8, 90), 700 + i) for i in range(12)]
+    for i in range(60):
+        own: list = []
+        while len(own) < 150:
+            q = r.choice(pool)
+            a = r.randrange(len(q) // 2)
+            own += q[a : r.randint(a + 1, len(q))] if r.random() < 0.7 else words(r.randint(1, 12), 800 + 40 * i + len(own))
+        t.append(own)
+    t += [["la"] * 130, words(3, 68) + ["la"] * 90, t[9][:49], t[9][1:51], p[:50], p[10:60]]
+    found = substrings.passages(docs(spark, [" ".join(x) for x in t])).collect()
+    got: dict = {}
+    for x in found:
+        assert x.other_id < x.doc_id
+        got.setdefault(x.doc_id, set()).update(range(x.start, x.end))
+    seen: set = set()
+    for i, w in enumerate(t):
+        own = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        want = {v for j, g in enumerate(own) if g in seen for v in range(j, j + 50)}
+        left = want - got.get(i, set())
+        assert not any(left >= set(range(v, v + 5)) for v in left), i
+        seen.update(own)
+    assert any(x.doc_id == 3 and x.other_id == 2 and x.end - x.start >= 60 for x in found)
+
+
 def test_chains_prefer_order():
     x, y = [0, 5, 10, 15, 40], [100, 105, 3, 115, 140]
     assert substrings.chains(x, y)[0] == [0, 1, 3]
