@@ -393,3 +393,38 @@ def test_pipeline_stages(spark, nothing, tmp_path):
         assert f(spark, nothing, str(tmp_path)).count() == 0, name
 
 
+
+
+@pytest.mark.parametrize("stage", ["simhash", "mixing"])
+def test_stages_number_rows_once(spark, tmp_path, monkeypatch, stage):
+    """Files are packed into other tasks after the first stored table, as when executors come or go."""
+    texts = [" ".join(words(40, 2000 + i % 30)) for i in range(40)]
+    docs(spark, texts).repartition(8).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d")
+    f = dict(corpus_pipeline.STAGES)[stage]
+    option, cost, store = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", corpus_pipeline.materialize
+
+    def key(rows):
+        return sorted((r.doc_id, r.text) for r in rows)
+
+    def moved(df, tag):
+        out = store(df, tag)
+        spark.conf.set(option, "128m")
+        spark.conf.set(cost, "0")
+        return out
+
+    try:
+        for name, m in (("fixed", store), ("moved", moved)):
+            spark.conf.set(option, "4k")
+            spark.conf.set(cost, "4m")
+            monkeypatch.setattr(corpus_pipeline, "materialize", m)
+            rows = key(f(spark, d, str(tmp_path)).collect())
+            if stage == "simhash":
+                assert [r[0] for r in rows] == list(range(30)), name
+            elif name == "fixed":
+                want = rows
+            else:
+                assert rows == want
+    finally:
+        spark.conf.unset(option)
+        spark.conf.unset(cost)
