@@ -155,18 +155,22 @@ def train(rows: pa.ListArray, labels: np.ndarray, fold: np.ndarray, categories:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", categories: tuple[str, ...] = CATEGORIES, max_train: int = MAX_TRAIN, seed: int = 5) -> Chain:
-    """Train on at most ``max_train`` labelled documents (a documented bound), chosen by a hash of their keys."""
+    """Train on at most ``max_train`` labelled documents (a documented bound), chosen by a hash of their keys.
+
+    Where a key has several texts, the one of the least hash stands for it.
+    """
     whole = labels.select(F.col(key).cast("long").alias("k"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     chosen = whole.groupBy("k").agg(*[F.max(c).alias(c) for c in categories]).withColumn("h", F.xxhash64(F.lit(seed), "k")).orderBy("h", "k").limit(max_train)
     chosen = materialize(chosen, "train")
     joined = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(chosen), "k")
+    joined = joined.groupBy("k", "h", *categories).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sorted(vocabulary_of(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), *[b.column(c) for c in categories], pa.array(got, pa.list_(pa.string()))], names=["k", "h", *categories, "words"])
 
-    table = texts(joined.select("k", "h", *categories, "text")).mapInArrow(run, f"k long, h long, {', '.join(f'{c} int' for c in categories)}, words array<string>").limit(2 * max_train).toArrow()
+    table = texts(joined.select("k", "h", *categories, "text")).mapInArrow(run, f"k long, h long, {', '.join(f'{c} int' for c in categories)}, words array<string>").toArrow()
     table = table.sort_by([("h", "ascending"), ("k", "ascending")])
     rows = table.column("words").combine_chunks()
     y = np.column_stack([table.column(c).to_numpy() for c in categories]) if len(rows) else np.zeros((0, len(categories)))

@@ -299,6 +299,14 @@ def test_toxicity(spark, edge, nothing):
     assert not any(x.rejected for x in toxicity.score(d, none).collect())
 
 
+def test_toxicity_trains_on_each_chosen_key(spark):
+    rows = [(0, " ".join(words(20, 3000 + i))) for i in range(300)] + [(i, " ".join(words(20, 4000 + i))) for i in range(1, 12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(12)], "doc_id long, quality int, toxic int")
+    one, two = (toxicity.fit_chain(x, labels, max_train=12) for x in (d, d.orderBy(F.desc("text")).repartition(5)))
+    assert one.oof.shape == (12, 2) and one.words.keys() == two.words.keys() and one.threshold == pytest.approx(two.threshold)
+
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
