@@ -162,6 +162,9 @@ def test_vectors(spark, chunk):
     rng = np.random.RandomState(5)
     base = rng.standard_normal((6, 20))
     rows = [(i, int(i % 2), (base[i % 6] + rng.standard_normal(20) * rng.choice([0.0, 0.05, 0.2, 1.0])).tolist()) for i in range(150)]
+    flat = np.zeros(20)
+    flat[:2] = 0.98, np.sqrt(1 - 0.98**2)
+    rows += [(300, 0, np.eye(20)[0].tolist()), (301, 0, flat.tolist()), (302, 0, (flat + np.eye(20)[1] * 1e-9).tolist()), (303, 0, (flat - np.eye(20)[1] * 1e-9).tolist())]  # at the threshold
     rows += [(200, 0, None), (201, 0, [0.0] * 20), (202, None, rows[0][2]), (203, 0, [float("nan")] * 20), (204, 0, rows[0][2]), (205, 0, rows[0][2][:5]), (206, 0, []), (207, 0, [x * 7 for x in rows[0][2]])]
     got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), chunk=chunk).collect()}
     assert len(got) == len(rows)
@@ -183,6 +186,15 @@ def test_vectors(spark, chunk):
     assert {k: (r.n_links, r.component_id, r.kept) for k, r in got.items()} == {k: (n[k], find(k), find(k) == k) for k in par}
 
 
+def test_vectors_repeated_keys_and_text_labels(spark):
+    """Rows of one key with other vectors keep links of their own; labels may be text; columns that clash are not read."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, "a", v), (1, "a", w), (2, "a", v), (3, "a", w), (4, "a", w), (4, "a", w), (5, "b", v), (None, "a", v)]
+    d = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>").withColumn("gid", F.lit(1)).withColumn("n", F.lit("x"))
+    got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(d).collect())
+    assert got == [(-1, 0, None, False), (1, 1, 1, True), (1, 3, 1, True), (2, 1, 1, False), (3, 3, 1, False), (4, 3, 1, False), (4, 3, 1, False), (5, 0, 5, True)]
+
+
 def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
