@@ -211,7 +211,8 @@ def test_passages(spark, nothing):
     t = [words(90, 7) + p + words(40, 8), words(30, 9) + p + words(60, 10), words(200, 11), words(50, 12) + fuzzy, words(20, 13) + p[:30], junk + words(9, 14), words(9, 15) + junk, None, "", p]
     text = [x if x is None or isinstance(x, str) else " ".join(x) for x in t]
     found = substrings.passages(docs(spark, text)).collect()
-    assert {r.doc_id for r in found} == {1, 3, 6, 9} and {r.other_id for r in found} == {0, 5}
+    assert {r.doc_id for r in found} == {1, 3, 6, 9} and all(r.other_id < r.doc_id for r in found)
+    assert {(1, 0), (3, 0), (6, 5), (9, 0)} <= {(r.doc_id, r.other_id) for r in found} and {r.other_id for r in found} <= {0, 1, 3, 5}
     one = next(r for r in found if r.doc_id == 1)
     assert (one.start, one.end, one.other_start, one.other_end, one.similarity) == (30, 100, 90, 160, 1.0)
     kept = {r.doc_id: r.text for r in substrings.drop_passages(docs(spark, text)).collect()}
@@ -223,7 +224,68 @@ def test_many_copies_over_partitions(spark):
     p = " ".join(words(80, 16))
     d = docs(spark, [f"{' '.join(words(20, 100 + i))} {p} {' '.join(words(10, 900 + i))}" for i in range(120)])
     found = substrings.passages(d.repartition(7)).collect()
-    assert {r.doc_id for r in found} == set(range(1, 120)) and {r.other_id for r in found} == {0}
+    assert {r.doc_id for r in found} == set(range(1, 120)) == {r.doc_id for r in found if r.other_id == 0}
+    assert {(r.doc_id, r.other_id) for r in found if r.other_id} == {(i, i - 1) for i in range(2, 120)}  # and the document before
+    again = substrings.passages(d.repartition(2)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, found))
+
+
+@pytest.mark.parametrize("every, length, least", [(6, 120, 0.95), (7, 120, 0.95), (8, 60, 0.9), (10, 60, 0.95)])
+def test_recall_of_edited_passages(spark, every, length, least):
+    """Passages of which every n-th word was changed (similarity 1 - 1 / n), each against its original."""
+    t = []
+    for i in range(40):
+        p = words(length, 5000 + 7 * i)
+        t += [words(30, 6000 + i) + p + words(20, 6100 + i), words(25, 6200 + i) + [f"zz{j}" if j % every == i % every else w for j, w in enumerate(p)] + words(35, 6300 + i)]
+    found = substrings.passages(docs(spark, [" ".join(x) for x in t])).collect()
+    hit = {r.doc_id for r in found if r.other_id == r.doc_id - 1 and r.end - r.start >= 0.7 * length}
+    assert len(hit & set(range(1, 80, 2))) >= least * 40
+    assert all(r.doc_id % 2 and r.similarity >= 0.8 for r in found)
+
+
+def test_recall_against_brute_force(spark):
+    """Random edits at 5 to 15 words in 100, and parts of the passage in other documents before and between."""
+    r, t, want = random.Random(70), [], []
+    for i in range(30):
+        p = words(90, 7000 + i)
+        edit = lambda w: [x for x in (r.choice(["", "new", v]) if r.random() < 0.15 else v for v in w) if x]
+        first = len(t)
+        t += [words(20, 7100 + i) + p[:40], p[30:70] + words(20, 7200 + i), words(15, 7300 + i) + p + words(15, 7400 + i), words(10, 7500 + i) + p[50:], words(20, 7600 + i) + edit(p) + words(9, 7700 + i)]
+        a, b = t[first + 2], t[first + 4]
+        if any(e - s >= 60 for s, e, *_ in substrings.segments(*substrings.align(b, a), 50, 0.8)):
+            want.append((first + 4, first + 2))
+    got = {(x.doc_id, x.other_id) for x in substrings.passages(docs(spark, [" ".join(x) for x in t])).collect()}
+    assert len(want) >= 25 and len(got & set(want)) >= 0.9 * len(want)
+
+
+def brute_common(x, y):
+    n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, v in enumerate(x):
+        for j, w in enumerate(y):
+            n[i + 1][j + 1] = n[i][j] + 1 if v == w else max(n[i][j + 1], n[i + 1][j])
+    return n[-1][-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 29, 40])
+def test_align_is_longest(monkeypatch, bits):
+    monkeypatch.setattr(substrings, "LCS_BITS", bits)
+    r = random.Random(71)
+    for _ in range(300):
+        x, y = ([r.choice("abcde"[: r.randint(1, 5)]) for _ in range(r.randint(0, 30))] for _ in range(2))
+        ai, bi = substrings.align(x, y)
+        assert [x[i] for i in ai] == [y[j] for j in bi] and ai == sorted(set(ai)) and bi == sorted(set(bi))
+        assert len(ai) == brute_common(x, y)
+
+
+def test_passages_edges(spark, edge):
+    """Repeated rows are one document; null keys and columns that clash take no part."""
+    p = " ".join(words(60, 72))
+    d = spark.createDataFrame([(None, p), (5, p), (5, p), (6, p + " x"), (6, "y " + p)], "doc_id long, text string")
+    d = d.withColumn("h", F.lit(1)).withColumn("start", F.lit("s")).withColumn("n_chars", F.length("text"))
+    assert {(r.doc_id, r.other_id) for r in substrings.passages(d).collect()} == {(6, 5), (6, 6)}
+    left = substrings.drop_passages(d)
+    assert left.columns == d.columns and sorted((r.doc_id or 0, r.text.strip()) for r in left.collect()) == [(0, p), (5, p), (5, p), (6, "x"), (6, "y")]
+    assert substrings.passages(edge).count() == 0 and substrings.drop_passages(edge).count() == 7
 
 
 def test_exact_repeats_equal_brute_force(spark):
@@ -257,7 +319,7 @@ def test_exact_repeats_equal_brute_force(spark):
 
 def test_chains_prefer_order():
     x, y = [0, 5, 10, 15, 40], [100, 105, 3, 115, 140]
-    assert substrings.chains(x, y)[0] == [0, 1, 3]
+    assert substrings.chains(x, y, gap=0.25)[0] == [0, 1, 3]
     best = substrings.chains(list(range(0, 50, 5)), list(range(7, 57, 5)))
     assert best == [list(range(10))]
 
