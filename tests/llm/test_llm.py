@@ -225,7 +225,9 @@ def test_many_copies_over_partitions(spark):
     d = docs(spark, [f"{' '.join(words(20, 100 + i))} {p} {' '.join(words(10, 900 + i))}" for i in range(120)])
     found = substrings.passages(d.repartition(7)).collect()
     assert {r.doc_id for r in found} == set(range(1, 120)) == {r.doc_id for r in found if r.other_id == 0}
-    assert {(r.doc_id, r.other_id) for r in found if r.other_id} == {(i, i - 1) for i in range(2, 120)}  # and the document before
+    got = {(r.doc_id, r.other_id): r for r in found if r.other_id}
+    assert got.keys() >= {(i, i - 1) for i in range(2, 120)}  # and the document before
+    assert all(r.other_id == r.doc_id - 1 or (r.similarity == 1 and r.end - r.start > 50) for r in got.values())  # a chance word more
     again = substrings.passages(d.repartition(2)).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, found))
 
@@ -290,7 +292,7 @@ def test_passages_edges(spark, edge):
 
 def test_exact_repeats_equal_brute_force(spark):
     """Words in a run of 50 words that an earlier document holds are reported, whatever its parts occur in before, but for
-    fewer than five words next to a passage."""
+    fewer than five words next to a passage of the same two documents."""
     r, p = random.Random(60), words(60, 61)
     t = [p[:40] + words(70, 62), words(30, 63) + p[24:], words(20, 64) + p + words(25, 65), words(33, 66) + p + words(8, 67)]
     pool = [words(r.randint(8, 90), 700 + i) for i in range(12)]
