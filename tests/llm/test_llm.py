@@ -202,6 +202,17 @@ def test_vectors_empty(spark):
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_hashes_follow_words(monkeypatch):
+    text = " a\tB b\x0b\n" + "\u00e9\u00c9\x1c\x85x " * 9 + "y" * 100 + " a  " + "z" * 30
+    w = substrings.words(text)
+    codes = {}
+    for piece in (1 << 20, 16):
+        monkeypatch.setattr(substrings, "PIECE", piece)
+        got = substrings.hashes(text).tolist()
+        assert len(got) == len(w) and all(codes.setdefault(a, b) == b for a, b in zip(w, got, strict=True))
+    assert len(set(codes.values())) == len(codes) and not len(substrings.hashes(None)) and not len(substrings.hashes("  "))
+
+
 def test_passages(spark, nothing):
     p = words(70, 6)
     fuzzy = list(p)
