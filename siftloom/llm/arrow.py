@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,11 +21,17 @@ def texts(df: DataFrame) -> DataFrame:
     Only the size of batches changes, no row; a smaller setting stays. A text longer than the limit is a batch of its own.
     """
     conf = df.sparkSession.conf
-    if int(conf.get(_LIMIT, str(64 << 20)).rstrip("bB")) > BATCH_BYTES:
+    if not 0 < size_of(conf.get(_LIMIT, "64m")) <= BATCH_BYTES:
         conf.set(_LIMIT, str(BATCH_BYTES))
     return df
 
 
+def size_of(setting: str) -> int:
+    """Bytes of a size as Spark's settings write it: 67108864, 64m, 64MB, 1g."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", setting.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] = (), max_bytes: int = 16 << 20) -> Callable:
     """A function for mapInArrow: ``fn(*values of cols)`` gives a tuple of new values for each row.
 

@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftloom.llm import bpe, lengths, licenses, media, mixing, simhash, substrings, toxicity, urls, vectors
+from siftloom.llm import arrow, bpe, lengths, licenses, media, mixing, simhash, substrings, toxicity, urls, vectors
+from siftloom.llm import text as text_rules
 from siftloom.llm.queries import VOCABULARY, vocabulary
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -146,6 +147,47 @@ def test_simhash_links(spark, chunk):
     assert comps(got) == comps([(a, b) for i, a in enumerate(v) for b in v[:i] if bin(a ^ b).count("1") <= 3])
 
 
+def shingles(text, k=5):
+    w = text.split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def test_similar_texts_against_brute_force(spark, edge, nothing):
+    """Five-word shingles: pairs at a Jaccard similarity of 0.9 or more are linked, of those from 0.8 on most, and none below 0.6."""
+    r, t = random.Random(80), []
+    for i in range(60):
+        w = words(300, 8000 + i)
+        t.append(" ".join(w))
+        for share in (0.002, 0.01, 0.02, 0.2):
+            t.append(" ".join("new" if r.random() < share else x for x in w))
+    sketched = simhash.sketches(docs(spark, t))
+    for chunk in (simhash.CHUNK, 2):
+        got = {x.doc_id: x.component_id for x in simhash.similar(sketched, chunk=chunk).collect()}
+        s = [shingles(x) for x in t]
+        n = {False: [], True: []}
+        for i in range(0, len(t), 5):
+            for a in range(i, i + 5):
+                for b in range(a + 1, i + 5):
+                    j = len(s[a] & s[b]) / len(s[a] | s[b])
+                    if j >= 0.8:
+                        n[j >= 0.9].append(got[a] == got[b])
+        assert len(n[True]) > 100 and all(n[True]) and len(n[False]) > 30 and np.mean(n[False]) >= 0.7 and all(c // 5 == d // 5 for d, c in got.items())
+        assert all(got[i + 4] == i + 4 for i in range(0, len(t), 5))
+    rows = simhash.similar(simhash.sketches(edge)).collect()
+    assert len(rows) == 7 and {x.component_id for x in rows if x.doc_id in (1, 2, 3)} == {1}
+    assert simhash.similar(simhash.sketches(nothing)).count() == 0
+
+
+def test_wide_planes():
+    rng = np.random.RandomState(81)
+    x, y = (rng.randint(0, 1 << 64, (130, 4), np.uint64) for _ in range(2))
+    y[:100] = x[:100] ^ (np.uint64(1) << rng.randint(0, 64, (100, 4)).astype(np.uint64)) * (rng.random((100, 4)) < 0.7)
+    far = np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(axis=2)
+    for radius in (1, 2, 3, 36, 128, 140):
+        assert (simhash.close_rows(x, y, radius) == (far <= radius)).all()
+        assert (simhash.close_pairs(x, y, radius) == (np.diag(far) <= radius)).all()
+
+
 def test_simhash_edges(spark, edge, nothing):
     rows = simhash.near_duplicates(edge).collect()
     assert len(rows) == 7
@@ -207,7 +249,7 @@ def test_hashes_follow_words(monkeypatch):
     w = substrings.words(text)
     codes = {}
     for piece in (1 << 20, 16):
-        monkeypatch.setattr(substrings, "PIECE", piece)
+        monkeypatch.setattr(text_rules, "PIECE", piece)
         got = substrings.hashes(text).tolist()
         assert len(got) == len(w) and all(codes.setdefault(a, b) == b for a, b in zip(w, got, strict=True))
     assert len(set(codes.values())) == len(codes) and not len(substrings.hashes(None)) and not len(substrings.hashes("  "))
@@ -468,6 +510,20 @@ def test_member_retry(tmp_path, spark):
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_keeps_columns_that_clash(spark, tmp_path):
+    names = ["times", "__times", "__uid", "uid", "rejected", "p_toxic", "fp", "size", "copies", "target", "bucket", "c0"]
+    d = docs(spark, [" ".join(words(40 + i, 500 + i)) for i in range(12)] * 2).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, d, str(tmp_path))
+        assert out.columns == d.columns and all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).count() == 24
+
+
+def test_batch_sizes():
+    assert [arrow.size_of(x) for x in ("64m", "67108864", "64MB", "1g", "-1", "512k")] == [64 << 20, 64 << 20, 64 << 20, 1 << 30, -1, 512 << 10]
+
+
 def test_pipeline_stages(spark, nothing, tmp_path):
     p = words(60, 40)
     texts = [" ".join(words(40 + i, 500 + i)) for i in range(30)]
