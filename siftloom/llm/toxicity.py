@@ -116,11 +116,19 @@ class Chain:
         return out
 
 
+def tells(hit: float, chosen: int, positive: float, n: int, least_z: float = LEAST_Z, precision: float = 0.5) -> bool:
+    """Whether ``chosen`` of n rows with ``hit`` of all ``positive`` ones are evidence: at least half are positive, and more by
+    ``least_z`` deviations than as many rows drawn by chance would hold."""
+    share = positive / n
+    spread = np.sqrt(chosen * share * (1 - share) * (n - chosen) / max(n - 1, 1))
+    return bool(hit >= precision * chosen and spread > 0 and hit - chosen * share >= least_z * spread)
+
+
 def train(rows: pa.ListArray, labels: np.ndarray, fold: np.ndarray, categories: tuple[str, ...] = CATEGORIES, folds: int = FOLDS) -> Chain:
     """Fit a chain. ``rows``: distinct words of each; ``labels`` is (rows, categories) of 0 and 1; ``fold`` numbers folds.
 
-    The threshold of a category is the out-of-fold score with the greatest F1. Without rows, or with one class, a model
-    keeps only its bias.
+    The threshold of a category is the out-of-fold score with the greatest F1. Where that does not tell the classes apart
+    (``tells``), nothing is rejected: the threshold is 2. Without rows, or with one class, a model keeps only its bias.
     """
     sizes = rows.value_lengths().to_numpy(zero_copy_only=False) if len(rows) else np.zeros(0, np.int64)
     coded = rows.flatten().dictionary_encode()  # words stay in Arrow memory
@@ -146,7 +154,8 @@ def train(rows: pa.ListArray, labels: np.ndarray, fold: np.ndarray, categories:
         last = np.r_[own[order][1:] != own[order][:-1], True] if len(y) else np.zeros(0, bool)
         best = int(np.argmax(np.where(last, f1, -1))) if len(y) else 0
         # halfway to the next score, so that rounding does not decide
-        chain.threshold.append(float((own[order][best] + (own[order][best + 1] if best + 1 < len(y) else 0)) / 2) if len(y) and y.any() else 2.0)
+        sure = len(y) and tells(hit[best], best + 1, y.sum(), len(y)) and np.any(model.weights)
+        chain.threshold.append(float((own[order][best] + (own[order][best + 1] if best + 1 < len(y) else 0)) / 2) if sure else 2.0)
         oof = np.column_stack([oof, own])
     used = np.flatnonzero(np.abs(weights).sum(axis=1) > 0)
     chain.words = {words[int(i)].as_py(): n for n, i in enumerate(used)}

@@ -387,6 +387,43 @@ def test_targets():
     assert mixing.targets([], [], 0) == [] and mixing.targets([0], [5], 0) == [0.0]
 
 
+def test_level_equals_targets(spark):
+    r = random.Random(90)
+    for _ in range(6):
+        sizes = [r.choice([0, 1, 5, 100, r.randint(0, 5000)]) for _ in range(r.randint(1, 40))]
+        w = [float(mixing.WEIGHTS[i % 3]) for i in range(len(sizes))]
+        left, share = mixing.level(spark.createDataFrame(list(zip(sizes, w, strict=True)), "source_size long, weight double"), 3.0)
+        got = [min(left * v / share, 3.0 * n) if share > 0 else 3.0 * n for n, v in zip(sizes, w, strict=True)]
+        assert got == pytest.approx(mixing.targets(sizes, w, sum(sizes)))
+
+
+def test_landing_is_nearest():
+    r = random.Random(91)
+    for _ in range(40):
+        units = [[r.random(), r.randint(0, 50), i] for i in range(r.randint(1, 9))]
+        got = mixing.land(units)
+        goal, docs_ = sum(p * s for p, s, _ in units), sum(p for p, *_ in units)
+        error = lambda c: abs(sum(v * u[1] for v, u in zip(c, units, strict=True)) - goal) + 0.01 * (np.mean([u[1] for u in units]) or 1) * abs(sum(c) - docs_)
+        assert error([v for _, v in got]) == pytest.approx(min(error([k >> i & 1 for i in range(len(units))]) for k in range(1 << len(units))))
+    assert mixing.land([]) == [] and mixing.ladder([]) == set() and mixing.ladder([9, 8, 6, 3, 1, 0], 3) == {0, 2, 3}
+
+
+def test_small_sources_come_near(spark):
+    """Ten documents of mixed sizes a source: the taken words are the nearest that whole documents allow."""
+    r = random.Random(92)
+    d = docs(spark, [" ".join(words(r.choice([3, 20, 150, 900]), 9000 + i)) for i in range(60)], lambda i: f"s{i % 6}")
+    rows = mixing.mix(d.withColumns({c: F.lit(c) for c in ("size", "target", "copies", "rank", "dup")})).collect()
+    for s in range(6):
+        own = [x for x in rows if x.source_rank == s]
+        low = min(x.copies for x in own) if len({x.copies for x in own}) > 1 else int(own[0].target / own[0].source_size)
+        best = min(abs(sum(x.size * (low + (k >> i & 1)) for i, x in enumerate(own)) - own[0].target) for k in range(1 << len(own)))
+        assert abs(sum(x.taken for x in own) - own[0].target) <= best + 0.01 * own[0].target
+    same = spark.createDataFrame([(1, "a b c", "x")] * 5000 + [(2, "d " * 900, "y")], "doc_id long, text string, source string")
+    got = mixing.mix(same, block_rows=64).collect()
+    assert len(got) == 5001 and {x.copies for x in got if x.doc_id == 1} <= {0, 1, 2, 3}
+    assert sum(x.taken for x in got if x.doc_id == 1) == pytest.approx(next(x.target for x in got if x.doc_id == 1), abs=3)
+
+
 def test_mix(spark, edge, nothing):
     r = random.Random(17)
     d = docs(spark, [" ".join(words(r.randint(1, 60), 1000 + i)) for i in range(900)])
@@ -428,6 +465,16 @@ def test_toxicity(spark, edge, nothing):
     assert not any(x.rejected for x in toxicity.score(d, none).collect())
 
 
+def test_toxicity_needs_evidence(spark):
+    """Labels that the words do not explain, or too few of them, reject nothing."""
+    d = docs(spark, [" ".join(words(40, 3600 + i)) for i in range(200)])
+    for n in (87, 8):
+        labels = spark.createDataFrame([(i, i % 2, int(i % 9 == 0)) for i in range(n)], "doc_id long, quality int, toxic int")
+        chain = toxicity.fit_chain(d, labels)
+        assert chain.threshold[1] == 2.0 and not any(x.rejected for x in toxicity.score(d, chain).collect())
+    assert toxicity.tells(40, 45, 50, 1000) and not toxicity.tells(5, 45, 50, 1000) and not toxicity.tells(50, 1000, 50, 1000)
+
+
 def test_toxicity_trains_on_each_chosen_key(spark):
     rows = [(0, " ".join(words(20, 3000 + i))) for i in range(300)] + [(i, " ".join(words(20, 4000 + i))) for i in range(1, 12)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
