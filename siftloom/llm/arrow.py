@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -32,6 +34,27 @@ def size_of(setting: str) -> int:
     return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system: workers are kept for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, followed by ``release``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return run
+
+
 def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] = (), max_bytes: int = 16 << 20) -> Callable:
     """A function for mapInArrow: ``fn(*values of cols)`` gives a tuple of new values for each row.
 

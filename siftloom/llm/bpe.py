@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftloom.llm.arrow import per_row, texts
+from siftloom.llm.arrow import per_row, texts, tidy
 
 #: Entries of a worker's memories; chunks, pieces and pairs of tokens have two generations of so many.
 CHUNKS, PIECES, PAIRS, MOVES = 300_000, 50_000, 400_000, 200_000
@@ -213,25 +213,30 @@ class Vocabulary:
         return _codecs[self.key]
 
 
-def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", exact: str | None = None) -> DataFrame:
     """All columns of ``df`` but ``text``, then ``ids`` array<int>. Null and empty texts give an empty array.
 
-    Rows are independent: repeats give repeats, an empty table gives an empty table. A column of ``df`` that is
-    already named ``ids`` is replaced.
+    With ``exact``, a boolean of that name tells whether the ids decode to the text's bytes. Rows are independent: repeats
+    give repeats, an empty table gives an empty table. Columns of ``df`` that are already named so are replaced.
     """
-    keep = [c for c in df.columns if c not in (text, ids)]
+    keep = [c for c in df.columns if c not in (text, ids, exact)]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    if exact:
+        schema.add(exact, T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = vocabulary.codec()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                out = pa.array([c.encode(x.as_py()) for x in part.column(text)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [out], names=[*keep, ids])
+                got = [c.encode(x.as_py()) for x in part.column(text)]
+                out = [pa.array(got, pa.list_(pa.int32()))]
+                if exact:
+                    out.append(pa.array([c.decode(v) == (x.as_py() or "").encode("utf-8", "surrogatepass") for v, x in zip(got, part.column(text), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + out, names=schema.names)
         _codecs.clear()  # a worker serves later stages too; its memories go with the task
 
-    return texts(df.select(*keep, F.col(text))).mapInArrow(run, schema)
+    return texts(df.select(*keep, F.col(text))).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -246,7 +251,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(got, pa.binary())], names=[*keep, out])
         _codecs.clear()
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep).mapInArrow(tidy(run), schema)
 
 
 def round_trip(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,7 +270,7 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text:
         named = ",".join(map(c.names.__getitem__, ids))
         return len(ids), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
-    out = texts(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(per_row(one, schema, "text", keep=("key",)), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = texts(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInArrow(tidy(per_row(one, schema, "text", keep=("key",))), "key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("key", key)
 
 
@@ -279,4 +284,4 @@ def token_counts(df: DataFrame, vocabulary: Vocabulary, text: str = "text", out:
             got = pa.array([c.count(x.as_py()) for x in batch.column("__text")], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [got], names=[*keep, out])
 
-    return texts(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return texts(df.select(*keep, F.col(text).alias("__text"))).mapInArrow(tidy(run), schema)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siftloom.llm.arrow import tidy
 from siftloom.session import materialize, new_path
 
 UNIT = 576
@@ -130,7 +131,7 @@ def write_archives(df: DataFrame, folder: str, key: str = "doc_id", text: str =
         for row in done:
             yield pa.RecordBatch.from_pylist([dict(zip(("archive", "size", "members"), row, strict=True))])
 
-    return materialize(df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, "archive string, size long, members long"), "archives")
+    return materialize(df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(tidy(run), "archive string, size long, members long"), "archives")
 
 
 class _Range(InputPartition):
@@ -252,7 +253,7 @@ def features(members: DataFrame, key: str = "doc_id") -> DataFrame:
                     names=["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
                 )
 
-    return members.select("key", "n_bytes", "media").mapInArrow(run, schema).withColumnRenamed("key", key)
+    return members.select("key", "n_bytes", "media").mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import runs, starts
+from siftloom.llm.arrow import runs, starts, tidy
 from siftloom.llm.text import WORD_PATTERN
 from siftloom.operators.numbering import numbered
 from siftloom.session import materialize, maybe_broadcast
@@ -145,7 +145,7 @@ def _round(units: DataFrame, block, seed: int, last: bool) -> DataFrame:
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols = [f.split()[0] for f in FIELDS.split(", ")]
     dealt = units.withColumn("block", block).repartition(n, "rank", "block").sortWithinPartitions("rank", "block", F.desc("size"), "h", "doc_id", "dup", "p")
-    return dealt.select(*cols[:-2], "block", *cols[-2:]).mapInArrow(_fly(seed, last), ", ".join([*FIELDS.split(", ")[:-2], "block long", *FIELDS.split(", ")[-2:]])).drop("block")
+    return dealt.select(*cols[:-2], "block", *cols[-2:]).mapInArrow(tidy(_fly(seed, last)), ", ".join([*FIELDS.split(", ")[:-2], "block long", *FIELDS.split(", ")[-2:]])).drop("block")
 
 
 def level(stats: DataFrame, cap: float) -> tuple[float, float]:

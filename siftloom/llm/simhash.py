@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import per_row, runs, starts, texts
+from siftloom.llm.arrow import per_row, runs, starts, texts, tidy
 from siftloom.llm.text import hashes, mix, spans, words
 from siftloom.operators.components import components
 from siftloom.session import discard, materialize, maybe_broadcast
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         return (f - (1 << 64) if f >> 63 else f,)
 
     source = df.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col(text).alias("__text"))
-    return texts(source).mapInArrow(per_row(one, schema, "__text", keep=keep), ", ".join(f"{c} long" for c in (*keep, "fp")))
+    return texts(source).mapInArrow(tidy(per_row(one, schema, "__text", keep=keep)), ", ".join(f"{c} long" for c in (*keep, "fp")))
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -222,7 +222,7 @@ def _met(keyed: DataFrame, radius: int, chunk: int, words: tuple[str, ...] = (),
     dealt = keyed.join(maybe_broadcast(hot), "bucket", "left").withColumn("own", own).select("bucket", "fp", *words, F.explode(turns).alias("t")).select("bucket", "t.cx", "t.cy", "t.side", "fp", *words)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "bucket", "cx", "cy").sortWithinPartitions("bucket", "cx", "cy")
-    return sorted_.mapInArrow(_edges(radius, words, small), "a long, b long").distinct()
+    return sorted_.mapInArrow(tidy(_edges(radius, words, small)), "a long, b long").distinct()
 
 
 def links(fps: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
@@ -272,7 +272,7 @@ def sketches(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     """``keep`` columns (long) and the words f0 .. f7 of each text's ``sketch`` as signed longs."""
     schema = pa.schema([(c, pa.int64()) for c in (*keep, *WORDS)])
     source = df.select(*[F.col(c).cast("long").alias(c) for c in keep], F.col(text).alias("__text"))
-    return texts(source).mapInArrow(per_row(lambda t: sketch(t, k).view(np.int64).tolist(), schema, "__text", keep=keep), ", ".join(f"{c} long" for c in (*keep, *WORDS)))
+    return texts(source).mapInArrow(tidy(per_row(lambda t: sketch(t, k).view(np.int64).tolist(), schema, "__text", keep=keep)), ", ".join(f"{c} long" for c in (*keep, *WORDS)))
 
 
 def estimated_radius(similarity: float) -> int:
@@ -309,7 +309,7 @@ def similar(sketched: DataFrame, similarity: float = 0.8, key: str = "doc_id", c
     """
     first = sketched.groupBy(*WORDS).agg(F.min(key).alias("first"))
     first = materialize(first.withColumn("fp", F.monotonically_increasing_id()), "sketches")
-    keyed = materialize(first.select("fp", *WORDS).mapInArrow(_bands(bands, bits), f"bucket long, fp long, {', '.join(f'{c} long' for c in WORDS)}"), "bands")
+    keyed = materialize(first.select("fp", *WORDS).mapInArrow(tidy(_bands(bands, bits)), f"bucket long, fp long, {', '.join(f'{c} long' for c in WORDS)}"), "bands")
     comp = components(_met(keyed, estimated_radius(similarity), chunk, WORDS, 64))
     rooted = materialize(first.join(comp, F.col("fp") == F.col("node"), "left").select(*WORDS, "first", F.coalesce("root", "fp").alias("root")), "roots")
     discard(keyed)

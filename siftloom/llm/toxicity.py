@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import texts
+from siftloom.llm.arrow import texts, tidy
 from siftloom.session import materialize
 
 CATEGORIES = ("quality", "toxic")
@@ -179,7 +179,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             got = [sorted(vocabulary_of(t.as_py())) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), *[b.column(c) for c in categories], pa.array(got, pa.list_(pa.string()))], names=["k", "h", *categories, "words"])
 
-    table = texts(joined.select("k", "h", *categories, "text")).mapInArrow(run, f"k long, h long, {', '.join(f'{c} int' for c in categories)}, words array<string>").toArrow()
+    table = texts(joined.select("k", "h", *categories, "text")).mapInArrow(tidy(run), f"k long, h long, {', '.join(f'{c} int' for c in categories)}, words array<string>").toArrow()
     table = table.sort_by([("h", "ascending"), ("k", "ascending")])
     rows = table.column("words").combine_chunks()
     y = np.column_stack([table.column(c).to_numpy() for c in categories]) if len(rows) else np.zeros((0, len(categories)))
@@ -210,4 +210,4 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *out], names=[*keep, *added])
 
     source = docs.select(*keep)
-    return texts(source).mapInArrow(run, schema)
+    return texts(source).mapInArrow(tidy(run), schema)

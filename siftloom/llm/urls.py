@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftloom.llm.arrow import tidy
+
 SYMBOLS = "\0abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%#:"  # 0: the start, and any other character is 47
 SIZE = 48
 ORDER = 3
@@ -125,7 +127,7 @@ def fit(labelled: DataFrame, order: int = ORDER) -> tuple[Model, Model, float]:
     the bins with the greatest mean of the two classes' recalls. Without URLs of both kinds it is 0.
     """
     sized = labelled.select("url", F.col("good").cast("int").alias("good"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("fold"))
-    counted = sized.mapInArrow(_count(order), "ord int, g int, k long, n long").groupBy("ord", "g", "k").agg(F.sum("n").alias("n"))
+    counted = sized.mapInArrow(tidy(_count(order)), "ord int, g int, k long, n long").groupBy("ord", "g", "k").agg(F.sum("n").alias("n"))
     t = counted.toArrow()  # bounded by the symbols and the order, not by the corpus
     ord_, g, k, n = (t.column(c).to_numpy() for c in ("ord", "g", "k", "n"))
 
@@ -150,7 +152,7 @@ def fit(labelled: DataFrame, order: int = ORDER) -> tuple[Model, Model, float]:
                 v, c = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((v // 2).astype(np.int32)), pa.array((v % 2).astype(np.int32)), pa.array(c)], names=["bin", "good", "n"])
 
-    got = sized.mapInArrow(bins, "bin int, good int, n long").groupBy("bin", "good").agg(F.sum("n").alias("n")).collect()
+    got = sized.mapInArrow(tidy(bins), "bin int, good int, n long").groupBy("bin", "good").agg(F.sum("n").alias("n")).collect()
     by = np.zeros((2, BINS))
     for r in got:
         by[r.good, r.bin] += r.n
@@ -178,5 +180,5 @@ def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, or
             s = scores([(u or "").encode() for u in b.column("url").to_pylist()], *sent.value, order)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "host", "path", "rule", "ruling")], pa.array(np.round(s, 9))], names=[key, "host", "path", "rule", "ruling", "score"])
 
-    scored = base.select(key, "url", "host", "path", "rule", "ruling").mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, host string, path string, rule string, ruling string, score double")
+    scored = base.select(key, "url", "host", "path", "rule", "ruling").mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, host string, path string, rule string, ruling string, score double")
     return scored.select(key, "host", "path", "rule", F.coalesce("ruling", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import texts
+from siftloom.llm.arrow import texts, tidy
 from siftloom.llm.simhash import forest
 from siftloom.operators.components import components
 from siftloom.session import materialize, maybe_broadcast
@@ -267,27 +267,27 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id",
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    base = base.mapInArrow(_parse, "vec_id long, label string, dim int, vector binary").withColumn("hash", F.md5("vector"))
+    base = base.mapInArrow(tidy(_parse), "vec_id long, label string, dim int, vector binary").withColumn("hash", F.md5("vector"))
     base = materialize(base, "vectors")
     # a vector of each label gets a number of its own, stored with it
     distinct = base.where("vector is not null").groupBy("label", "hash").agg(F.min("vec_id").alias("low"), F.count("*").alias("mult"), F.first("dim").alias("dim"), F.first("vector").alias("vector"))
     distinct = materialize(distinct.withColumn("gid", F.monotonically_increasing_id()), "distinct")
-    rows = distinct.select("gid", "label", "dim", "mult", "vector").mapInArrow(_blocks(threshold, block), "label string, dim int, part int, path binary, gid long, mult long, q binary")
+    rows = distinct.select("gid", "label", "dim", "mult", "vector").mapInArrow(tidy(_blocks(threshold, block)), "label string, dim int, part int, path binary, gid long, mult long, q binary")
     pack, schema = _pack(threshold, block, chunk)
     order = [*PLACE, "path", "gid"]
-    chunks = materialize(texts(rows).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(pack, schema), "chunks")
+    chunks = materialize(texts(rows).repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tidy(pack), schema), "chunks")
     plan = materialize(_meetings(chunks.drop("gids", "mults", "qs")), "meetings")
     slots = plan.groupBy(*PLACE, "ax").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("slots"))
     plan = materialize(plan.join(slots, [*PLACE, "ax"]).withColumn("slot", F.pmod(F.xxhash64("cid"), "slots").cast("int")).drop("slots"), "slots")
     sent = plan.select(*PLACE, "ax", "slot", F.lit(1).alias("side"), "cid").unionByName(plan.select(*PLACE, "ax", "slot", F.lit(0).alias("side"), F.col("ax").alias("cid")).distinct())
     dealt = chunks.select(*PLACE, "cid", "gids", "mults", "qs").join(maybe_broadcast(sent), [*PLACE, "cid"])
     group = [*PLACE, "ax", "slot"]
-    found = texts(dealt).repartition(n, *group).sortWithinPartitions(*group, "side", "cid").mapInArrow(_compare(threshold, block), "rep long, n long, root long, sure boolean")
+    found = texts(dealt).repartition(n, *group).sortWithinPartitions(*group, "side", "cid").mapInArrow(tidy(_compare(threshold, block)), "rep long, n long, root long, sure boolean")
     found = materialize(found, "found")
     vx = distinct.select(F.col("gid").alias("rep"), "dim", F.col("vector").alias("vx"), F.col("mult").alias("mx"))
     vy = distinct.select(F.col("gid").alias("other"), F.col("vector").alias("vy"), F.col("mult").alias("my"))
     close = found.where("not sure").select("rep", F.col("root").alias("other")).join(vx, "rep").join(vy, "other")
-    verified = texts(close).mapInArrow(_verify(threshold), "rep long, n long, root long")
+    verified = texts(close).mapInArrow(tidy(_verify(threshold)), "rep long, n long, root long")
     links = materialize(found.where("sure").drop("sure").unionByName(verified).groupBy("rep", "root").agg(F.sum("n").alias("n")), "links")
     comp = components(links.where("rep <> root"), "rep", "root")
     counts = links.groupBy(F.col("rep").alias("r")).agg(F.sum("n").alias("n"))

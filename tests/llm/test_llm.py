@@ -81,6 +81,8 @@ def test_bpe_frames(spark, edge, nothing):
     back = bpe.decode(bpe.encode(edge, v), v).join(edge.select("doc_id", "text"), "doc_id")
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in back.collect())
     assert bpe.round_trip(nothing, v).count() == 0
+    both = bpe.encode(edge, v, exact="key")
+    assert both.columns[-2:] == ["ids", "key"] and all(r.key for r in both.collect()) and both.count() == 7
 
 
 # 10 ------------------------------------------------------------------------------------------------------------------
