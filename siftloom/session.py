@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast once its size has been counted.
 BROADCAST_ROWS = 50_000
 
+#: Bytes of a row group that a task holds in memory while it writes a stored table.
+ROW_GROUP = 16 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -46,7 +49,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     It cuts lineage and survives lost executors, and later reads prune columns.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._siftloom_path = path
     return back
