@@ -1,10 +1,14 @@
 """URL filters: prefix rules, and for the rest the ratio of two variable-order Markov models of characters.
 
-One model is of accepted URLs, one of rejected ones (those that rules decide). A character's probability after up to
-``order`` characters is interpolated from the longest context down by Witten-Bell smoothing. The score of a URL is the
-difference of its log-likelihoods by length, and the threshold is calibrated on scores that each fold gets from the counts
-of the other folds. Counts are taken over all URLs; characters fold into 48 symbols, so a model has at most
-48 ** (order + 1) counts at each order, whatever the corpus, and is small enough to broadcast.
+One model is of accepted URLs, one of rejected ones (those that rules decide). A byte's probability after up to ``ORDER``
+bytes is interpolated from the shortest context up to the longest that the model has seen, by Witten-Bell smoothing. The
+score of a URL is the difference of its log-likelihoods by length, and the threshold is calibrated on scores that each fold
+gets from the counts of the other folds.
+
+Counts are taken over all URLs and grow with them: a gram (a byte and the ``ORDER`` bytes before it, as one long) and its
+shorter forms are rows of stored tables, smoothed level by level by joins on the gram without its oldest byte. Scoring joins
+the grams of the URLs with the table of the longest ones. Nothing of the models reaches the driver or is broadcast, but for
+grams and URLs that each make up a ten-thousandth of all rows or more: there are at most ten thousand of them.
 """
 
 from __future__ import annotations
@@ -16,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.llm.arrow import tidy
+from siftloom.llm.arrow import runs, starts, texts, tidy
+from siftloom.session import materialize
 
-SYMBOLS = "\0abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%#:"  # 0: the start, and any other character is 47
-SIZE = 48
-ORDER = 3
+ORDER = 6  # a gram of 7 bytes fits into a long
 FOLDS = 5
 BINS = 4096
+SCALE = 1 << 32  # log-likelihoods are summed as integers, so that their order does not matter
+HOT = 10_000
 #: (host suffix, path prefix, verdict)
 RULES = (
     ("org", "/", "allow"),
@@ -31,11 +36,6 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-_table = np.full(256, SIZE - 1, np.uint8)
-for _i, _c in enumerate(SYMBOLS):
-    _table[ord(_c)] = _i
-for _c in "abcdefghijklmnopqrstuvwxyz":
-    _table[ord(_c.upper())] = _table[ord(_c)]
 
 
 def host_and_path(url: str = "url") -> tuple:
@@ -59,126 +59,136 @@ def with_rules(df: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     return df.withColumns({"rule": rule, "ruling": ruling})
 
 
-def contexts(urls: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(order + 1, characters) keys of each character with its 0, 1... preceding symbols, and the characters' URL numbers."""
-    sizes = np.array([len(u) for u in urls], np.int64)
-    pad = b"\0" * order
-    flat = _table[np.frombuffer(b"".join(pad + u for u in urls), np.uint8)].astype(np.int64)
-    at = np.flatnonzero(np.concatenate([np.r_[np.zeros(order, bool), np.ones(n, bool)] for n in sizes])) if len(urls) else np.zeros(0, np.int64)
-    keys, key, weight = np.zeros((order + 1, len(at)), np.int64), np.zeros(len(at), np.int64), 1
-    for o in range(order + 1):
-        key = key + flat[at - o] * weight
-        weight *= SIZE
-        keys[o] = key
-    return keys, np.repeat(np.arange(len(urls)), sizes)
-
-
-class Model:
-    """Witten-Bell interpolated counts: for each order sorted keys with counts, and context totals and distinct followers."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.orders = []
-        for keys, n in counts:
-            by = np.argsort(keys, kind="stable")
-            keys, n = keys[by], n[by].astype(float)
-            context, at = np.unique(keys // SIZE, return_inverse=True)
-            self.orders.append((keys, n, context, np.bincount(at, n, len(context)), np.bincount(at, minlength=len(context)).astype(float)))
-
-    @staticmethod
-    def _find(sorted_: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(sorted_):
-            return np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
-        return np.where(sorted_[at] == wanted, values[at], 0.0)
-
-    def log_p(self, keys: np.ndarray) -> np.ndarray:
-        p = np.full(keys.shape[1], 1 / SIZE)
-        for (known, n, context, total, kinds), wanted in zip(self.orders, keys, strict=True):
-            ctx = wanted // SIZE
-            t, k = self._find(context, total, ctx), self._find(context, kinds, ctx)
-            p = np.where(t > 0, (self._find(known, n, wanted) + k * p) / np.maximum(t + k, 1), p)
-        return np.log(p)
-
-
-def scores(urls: list[bytes], good: Model, bad: Model, order: int = ORDER) -> np.ndarray:
-    """Length-normalised difference of log-likelihoods; 0 for an empty URL."""
-    keys, row = contexts(urls, order)
-    diff = np.bincount(row, good.log_p(keys) - bad.log_p(keys), len(urls)) if len(urls) else np.zeros(0)
-    return diff / np.maximum(np.array([len(u) for u in urls]), 1)
-
-
-def _count(order: int):
+def grams(url: bytes) -> np.ndarray:
+    """The gram of each byte: itself and the ``ORDER`` bytes before it (zero before the start), the latest lowest."""
+    flat = np.frombuffer(b"\0" * ORDER + url, np.uint8).astype(np.int64)
+    out = np.zeros(len(url), np.int64)
+    for o in range(ORDER + 1):
+        out |= flat[ORDER - o : len(flat) - o] << (8 * o)
+    return out
+
+
+EVENTS = "uid long, gram long, k long, g int, m long"
+
+
+def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """uid, url, g, m -> EVENTS: each gram of a URL and how often it has it (k)."""
+    names, held, size = [f.split()[0] for f in EVENTS.split(", ")], [], 0
+
+    def batch() -> pa.RecordBatch:
+        uid, gram, k, g, m = zip(*held, strict=True)
+        n = [len(x) for x in gram]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(uid, np.int64), n)), pa.array(np.concatenate(gram)), pa.array(np.concatenate(k)), pa.array(np.repeat(np.array(g, np.int32), n)), pa.array(np.repeat(np.array(m, np.int64), n))], names=names)
+
+    for b in batches:
+        for uid, url, g, m in zip(b.column("uid").to_pylist(), b.column("url"), b.column("g").to_pylist(), b.column("m").to_pylist(), strict=True):
+            gram, k = np.unique(grams(url.as_py().encode("utf-8", "surrogatepass")), return_counts=True)
+            held.append((uid, gram, k.astype(np.int64), g, m))
+            size += len(gram)
+            if size > 100_000:
+                yield batch()
+                held, size = [], 0
+    if held:
+        yield batch()
+
+
+COUNTS = [f"c{i}" for i in range(2 * FOLDS)]  # of rejected URLs by fold, then of accepted ones
+PAIRS = 2 * (FOLDS + 1)  # models: rejected without each fold and with all, then accepted
+
+
+def _smooth(order: int):
+    """Rows (ctx, gram, COUNTS, q) sorted by ctx -> gram, p: probabilities of the gram's byte in every model, from the counts of
+    its context and the probabilities q in the context that is one byte shorter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            urls = [u.encode() for u in b.column("url").to_pylist()]
-            group = b.column("good").to_numpy() * FOLDS + b.column("fold").to_numpy()
-            keys, row = contexts(urls, order)
-            for o in range(order + 1):
-                k, n = np.unique(keys[o] * (2 * FOLDS) + group[row], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), o, np.int32)), pa.array((k % (2 * FOLDS)).astype(np.int32)), pa.array(k // (2 * FOLDS)), pa.array(n)], names=["ord", "g", "k", "n"])
+        for t in runs(batches, ["ctx"]):
+            c = np.stack([t.column(x).to_numpy() for x in COUNTS], axis=1).astype(np.float64)
+            n = np.concatenate([np.column_stack([c[:, s].sum(axis=1, keepdims=True) - c[:, s], c[:, s].sum(axis=1)]) for s in (slice(0, FOLDS), slice(FOLDS, None))], axis=1)
+            q = t.column("q").combine_chunks().flatten().to_numpy().reshape(-1, PAIRS) if order else np.full((len(c), PAIRS), 1 / 256)
+            at = starts(t, ["ctx"])
+            size = np.diff(np.append(at, len(c)))
+            total, kinds = (np.repeat(np.add.reduceat(v, at, axis=0), size, axis=0) for v in (n, (n > 0).astype(float)))
+            p = np.where(total > 0, (n + kinds * q) / np.maximum(total + kinds, 1), q)
+            yield pa.RecordBatch.from_arrays([t.column("gram").combine_chunks(), pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, PAIRS, dtype=np.int32)), pa.array(p.ravel()))], names=["gram", "p"])
 
     return run
 
 
-def fit(labelled: DataFrame, order: int = ORDER) -> tuple[Model, Model, float]:
-    """Models of accepted and rejected URLs and the calibrated threshold, from ``labelled`` (url, good 0/1).
-
-    Every URL is counted. Each fold's URLs are scored by the counts of the other folds, and the threshold is the middle of
-    the bins with the greatest mean of the two classes' recalls. Without URLs of both kinds it is 0.
+def ratios(events: DataFrame) -> DataFrame:
+    """gram, n (how many rows of ``events`` hold it) and r: the scaled log ratio of its byte for accepted and rejected URLs, by
+    the models without each fold and by those of all. ``events`` is a stored table."""
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weight = F.col("k") * F.col("m")
+    counted = events.groupBy("gram").agg(*[F.sum(F.when(F.col("g") == i, weight).otherwise(0)).alias(c) for i, c in enumerate(COUNTS)], F.count("*").alias("n"))
+    levels = [materialize(counted, "grams")]
+    for o in reversed(range(ORDER)):
+        short = F.col("gram").bitwiseAND((1 << 8 * (o + 1)) - 1)
+        levels.append(materialize(levels[-1].groupBy(short.alias("gram")).agg(*[F.sum(c).alias(c) for c in COUNTS]), "grams"))
+    below = None
+    for o, level in enumerate(reversed(levels)):
+        rows = level.select(F.shiftrightunsigned("gram", 8).alias("ctx"), "gram", *COUNTS)
+        if below is None:
+            rows = rows.withColumn("q", F.lit(None).cast("array<double>"))
+        else:
+            lower = below.select(F.col("gram").alias("low"), F.col("p").alias("q"))
+            rows = rows.join(lower, F.col("gram").bitwiseAND((1 << 8 * o) - 1) == F.col("low")).drop("low")
+        rows = rows.repartition(n, "ctx").sortWithinPartitions("ctx", "gram")
+        below = materialize(rows.mapInArrow(tidy(_smooth(o)), "gram long, p array<double>"), "smooth")
+    r = F.array(*[F.round((F.log(F.col("p")[FOLDS + 1 + i]) - F.log(F.col("p")[i])) * SCALE).cast("long") for i in range(FOLDS + 1)])
+    return below.join(levels[0].select("gram", "n"), "gram").select("gram", "n", r.alias("r"))
+
+
+def _hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` joined with the stored ``right`` (unique ``key``; n: its rows in ``left``, ``total`` together). Keys of one row in HOT
+    or more are at most HOT and are broadcast, so no key that is shuffled has more."""
+    hot = right.where(F.col("n") * HOT >= total).drop("n")
+    cold = right.where(F.col("n") * HOT < total).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
+def scores(urls: DataFrame) -> tuple[DataFrame, float]:
+    """(uid, score; threshold) for the stored ``urls``: uid, url, size (bytes), m (rows) and g (class x FOLDS + fold; -1: none).
+
+    A score is the length-normalised difference of log-likelihoods by the models of all labelled URLs; an empty URL scores
+    0. Each fold's URLs are scored by the counts of the other folds too, and the threshold is the middle of the bins of
+    those scores with the greatest mean of the two classes' recalls. Without URLs of both kinds it is 0.
     """
-    sized = labelled.select("url", F.col("good").cast("int").alias("good"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("fold"))
-    counted = sized.mapInArrow(tidy(_count(order)), "ord int, g int, k long, n long").groupBy("ord", "g", "k").agg(F.sum("n").alias("n"))
-    t = counted.toArrow()  # bounded by the symbols and the order, not by the corpus
-    ord_, g, k, n = (t.column(c).to_numpy() for c in ("ord", "g", "k", "n"))
-
-    def model(good: int, without: int | None) -> Model:
-        parts = []
-        for o in range(order + 1):
-            on = (ord_ == o) & (g // FOLDS == good) & (g % FOLDS != (-1 if without is None else without))
-            keys, at = np.unique(k[on], return_inverse=True)
-            parts.append((keys, np.bincount(at, n[on], len(keys)) if len(keys) else np.zeros(0)))
-        return Model(parts)
-
-    held = [(model(1, f), model(0, f)) for f in range(FOLDS)]
-    sent = labelled.sparkSession.sparkContext.broadcast(held)
-
-    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            urls, good, fold = [u.encode() for u in b.column("url").to_pylist()], b.column("good").to_numpy(), b.column("fold").to_numpy()
-            for f in range(FOLDS):
-                on = np.flatnonzero(fold == f)
-                s = scores([urls[i] for i in on], *sent.value[f], order)
-                at = np.clip(((s + 4) * (BINS / 8)).astype(np.int64), 0, BINS - 1) * 2 + good[on]
-                v, c = np.unique(at, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array((v // 2).astype(np.int32)), pa.array((v % 2).astype(np.int32)), pa.array(c)], names=["bin", "good", "n"])
-
-    got = sized.mapInArrow(tidy(bins), "bin int, good int, n long").groupBy("bin", "good").agg(F.sum("n").alias("n")).collect()
-    by = np.zeros((2, BINS))
-    for r in got:
-        by[r.good, r.bin] += r.n
+    events = materialize(texts(urls.select("uid", "url", "g", "m")).mapInArrow(tidy(_events), EVENTS), "events")
+    table = materialize(ratios(events), "ratios")
+    total = table.agg(F.sum("n")).first()[0] or 0
+    found = _hot_join(events.select("uid", "gram", "k"), table, "gram", total)
+    sums = found.groupBy("uid").agg(*[F.sum(F.col("k") * F.col("r")[i]).alias(f"s{i}") for i in range(FOLDS + 1)])
+    each = urls.join(sums, "uid", "left")
+    by = lambda c: F.round(F.coalesce(c, F.lit(0)) / SCALE / F.greatest("size", F.lit(1)), 9)
+    held = F.element_at(F.array(*[f"s{i}" for i in range(FOLDS)]), (F.pmod("g", F.lit(FOLDS)) + 1).cast("int"))
+    each = materialize(each.select("uid", "g", "m", by(F.col(f"s{FOLDS}")).alias("score"), by(held).alias("held")), "scores")
+    place = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("held") + 4) * (BINS / 8)))).cast("int")
+    got = each.where("g >= 0").groupBy(place.alias("bin"), F.floor(F.col("g") / FOLDS).cast("int").alias("good")).agg(F.sum("m").alias("n")).collect()  # at most 2 x BINS rows
+    count = np.zeros((2, BINS))
+    for row in got:
+        count[row.good, row.bin] += row.n
     threshold = 0.0
-    if by[0].sum() and by[1].sum():
-        right = np.r_[0, np.cumsum(by[0])] / by[0].sum() + 1 - np.r_[0, np.cumsum(by[1])] / by[1].sum()
+    if count[0].sum() and count[1].sum():
+        right = np.r_[0, np.cumsum(count[0])] / count[0].sum() + 1 - np.r_[0, np.cumsum(count[1])] / count[1].sum()
         best = np.flatnonzero(right >= right.max() - 1e-12)
         threshold = float(best[len(best) // 2] * (8 / BINS) - 4)
-    return model(1, None), model(0, None), threshold
+    return each.select("uid", "score"), threshold
 
 
-def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, order: int = ORDER) -> DataFrame:
+def judge(df: DataFrame, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
     """key, host, path, rule, verdict and score for every row: the rule's verdict where one fits, else the models'.
 
-    A URL that is null or empty scores 0. A score at or above the threshold allows. Every row gives one row; other columns
-    are not read. An empty table gives no rows.
+    A URL that is null or empty scores 0. A score at or above the threshold allows. Every row gives one row, and every row
+    with a rule counts in the models; other columns are not read. An empty table gives no rows. Bytes are told apart as they
+    are, so letters count with their case.
     """
-    base = with_rules(df.select(F.col(key).alias(key), F.col(url).alias("url")), rules)
-    labelled = base.where("ruling is not null").select("url", (F.col("ruling") == "allow").cast("int").alias("good"))
-    good, bad, threshold = fit(labelled, order)
-    sent = df.sparkSession.sparkContext.broadcast((good, bad))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = scores([(u or "").encode() for u in b.column("url").to_pylist()], *sent.value, order)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (key, "host", "path", "rule", "ruling")], pa.array(np.round(s, 9))], names=[key, "host", "path", "rule", "ruling", "score"])
-
-    scored = base.select(key, "url", "host", "path", "rule", "ruling").mapInArrow(tidy(run), f"`{key}` {df.schema[key].dataType.simpleString()}, host string, path string, rule string, ruling string, score double")
-    return scored.select(key, "host", "path", "rule", F.coalesce("ruling", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")
+    base = materialize(with_rules(df.select(F.col(key).alias("__key"), F.col(url).alias("url")), rules).withColumn("__url", F.coalesce("url", F.lit(""))), "urls")
+    good = F.when(F.col("ruling").isNotNull(), (F.col("ruling") == "allow").cast("int") * FOLDS + F.pmod(F.xxhash64("__url"), F.lit(FOLDS))).otherwise(-1)
+    each = base.groupBy("__url").agg(F.max(good).cast("int").alias("g"), F.count("*").alias("m"))
+    each = materialize(each.select(F.monotonically_increasing_id().alias("uid"), F.col("__url").alias("url"), F.octet_length("__url").alias("size"), "g", "m"), "distinct")
+    found, threshold = scores(each)
+    scored = materialize(each.select("uid", F.col("url").alias("__url"), F.col("m").alias("n")).join(found, "uid").drop("uid"), "scored")
+    total = scored.agg(F.sum("n")).first()[0] or 0
+    out = _hot_join(base, scored, "__url", total)
+    return out.select(F.col("__key").alias(key), "host", "path", "rule", F.coalesce("ruling", F.when(F.col("score") >= threshold, "allow").otherwise("block")).alias("verdict"), "score")

@@ -513,11 +513,68 @@ def test_urls(spark):
     assert urls.judge(d.limit(0)).count() == 0
 
 
-def test_url_model_probabilities():
-    keys, _ = urls.contexts([b"abab", b"abc"], 2)
-    m = urls.Model([np.unique(k, return_counts=True) for k in keys])
-    every = np.array([urls.contexts([b"ab" + bytes([c])], 2)[0][:, -1] for c in b"abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%#:"]).T
-    assert 0.9 < np.exp(m.log_p(every)).sum() <= 1 + 1e-9  # the other two symbols have the rest
+def brute_scores(rows):
+    """Witten-Bell models by dictionaries: held-out and full scores of (url, class or None, rows)."""
+    fold = {}
+
+    def model(kind, without):
+        n = {}
+        for url, good, m in rows:
+            if good == kind and fold[url] != without:
+                b = bytes(urls.ORDER) + url.encode()
+                for i in range(urls.ORDER, len(b)):
+                    for o in range(urls.ORDER + 1):
+                        at = n.setdefault(b[i - o : i], {})
+                        at[b[i]] = at.get(b[i], 0) + m
+        return n
+
+    def p(n, ctx, c):
+        low = p(n, ctx[1:], c) if ctx else 1 / 256
+        here = n.get(ctx)
+        return (here.get(c, 0) + len(here) * low) / (sum(here.values()) + len(here)) if here else low
+
+    def score(url, good, bad):
+        b = bytes(urls.ORDER) + url.encode()
+        return sum(np.log(p(good, b[i - urls.ORDER : i], b[i]) / p(bad, b[i - urls.ORDER : i], b[i])) for i in range(urls.ORDER, len(b))) / max(len(b) - urls.ORDER, 1)
+
+    return fold, model, score
+
+
+def test_url_models_against_brute_force(spark):
+    r = random.Random(95)
+    every = [f"http://{r.choice(['a.org', 'b.org', 'x.com/de', 'y.com/de', 'q.net', 'ü.net'])}/{r.choice(['buy', 'read', 'É', 'win'])}{r.choice(['', '/now', '?x=1'])}{r.randint(0, 3)}" for _ in range(60)] + ["", None, "http://p.net/" + "z" * 3000]
+    d = spark.createDataFrame(list(enumerate(every)), "page_id long, url string").withColumn("gram", F.lit("clash")).withColumn("score", F.lit(1))
+    got = {x.page_id: x for x in urls.judge(d).collect()}
+    assert len(got) == len(every)
+    count: dict = {}
+    for i, u in enumerate(every):
+        v = {"allow": 1, "block": 0}[got[i].verdict] if got[i].rule else None
+        count[u or ""] = (v, count.get(u or "", (v, 0))[1] + 1)
+    rows = [(u, v, m) for u, (v, m) in count.items()]
+    fold, model, score = brute_scores(rows)
+    fold.update({u: spark.range(1).select(F.pmod(F.xxhash64(F.lit(u)), F.lit(urls.FOLDS))).first()[0] for u, *_ in rows if count[u][0] is not None})
+    good, bad = model(1, None), model(0, None)
+    for i, u in enumerate(every):
+        assert got[i].score == pytest.approx(score(u or "", good, bad), abs=2e-8), u
+    held = [(score(u, model(1, fold[u]), model(0, fold[u])), v, m) for u, v, m in rows if v is not None]
+    assert {v for _, v, _ in held} == {0, 1}
+    right = lambda t: sum(m for s, v, m in held if v and s >= t) / sum(m for _, v, m in held if v) + sum(m for s, v, m in held if not v and s < t) / sum(m for _, v, m in held if not v)
+    marks = [got[i] for i in range(len(every)) if not got[i].rule]
+    allowed, blocked = [x.score for x in marks if x.verdict == "allow"], [x.score for x in marks if x.verdict == "block"]
+    assert marks and (not allowed or not blocked or min(allowed) > max(blocked))
+    parts = urls.scores(spark.createDataFrame([(i, u, len(u.encode()), m, -1 if v is None else v * urls.FOLDS + fold[u]) for i, (u, v, m) in enumerate(rows)], "uid long, url string, size int, m long, g int"))
+    steps = [k * 8 / urls.BINS - 4 for k in range(urls.BINS + 1)]
+    assert right(parts[1]) >= max(map(right, steps)) - 1e-9
+    assert all((x.verdict == "allow") == (x.score >= parts[1]) for x in marks)
+
+
+def test_url_verdicts_follow_the_models(spark):
+    """URLs without a rule that look like accepted ones are allowed, those that look like rejected ones are blocked."""
+    r = random.Random(96)
+    good, bad = [f"essay-{r.choice(['river', 'stone', 'bread'])}-{i}" for i in range(150)], [f"cheap_pills_{r.choice(['now', 'win', 'bet'])}{i}" for i in range(150)]
+    rows = [f"http://a.org/{x}" for x in good[:100]] + [f"http://s.com/de/{x}" for x in bad[:100]] + [f"http://n.net/{x}" for x in good[100:]] + [f"http://n.net/{x}" for x in bad[100:]]
+    got = {x.page_id: x.verdict for x in urls.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert np.mean([got[i] == "allow" for i in range(200, 250)]) > 0.95 and np.mean([got[i] == "block" for i in range(250, 300)]) > 0.95
 
 
 # 9 -------------------------------------------------------------------------------------------------------------------
