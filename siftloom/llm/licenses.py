@@ -20,6 +20,23 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD_CONDITIONS = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 #: (licence, text): whole texts and the notices by which works name their licence; fixed values
 KNOWN = (
     ("MIT", MIT),
@@ -42,7 +59,15 @@ KNOWN = (
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("BSD-2-Clause", BSD_CONDITIONS + BSD_DISCLAIMER),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_CONDITIONS + BSD_DISCLAIMER),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", BSD_CONDITIONS + BSD_NAMES + BSD_DISCLAIMER),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_CONDITIONS + BSD_NAMES + BSD_DISCLAIMER),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("Zlib", ZLIB),
+    ("Zlib", "zlib License\n" + ZLIB),
+    ("Unlicense", UNLICENSE),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -51,8 +76,10 @@ KNOWN = (
 )
 #: (pattern, replacement) in order, over lower-cased text with a line feed before it; lines stay apart
 STEPS = (
-    (r"\n[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*", "\n"),
-    (r"all rights reserved", " "),
+    (r"all[ \n]+rights[ \n]+reserved", " "),
+    # these are no copyright lines, wherever the text is wrapped
+    (r"copyright[^a-z0-9]+(notice|holder|owner|law|licen|statement|disclaimer|interest|protect|infring|and |or |in |is )", "copyright$1"),
+    (r"\n[^a-z0-9\n]*(copyright[^a-z0-9\n][^\n]*|copyright\n|\(c\)[^a-z0-9\n]*(copyright|[0-9][0-9][0-9][0-9])[^\n]*|©[^\n]*)", "\n"),
     (r"licence", "license"),
     (r"sub-license", "sublicense"),
     (r"non-infringement", "noninfringement"),
@@ -120,7 +147,7 @@ def sql(known=KNOWN) -> str:
     """The same scan in DuckDB SQL over ``documents``."""
     form = "chr(10) || lower(coalesce(text, ''))"
     for pattern, to in STEPS:
-        form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(to) if to != chr(10) else 'chr(10)'}, 'g')"
+        form = f"regexp_replace({form}, {_quoted(pattern)}, {_quoted(to.replace("$1", chr(92) + "1")) if to != chr(10) else 'chr(10)'}, 'g')"
     form = f"trim({form}, ' ')"
     rows = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in known)
     return f"""

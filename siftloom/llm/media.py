@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -151,13 +152,17 @@ class _In:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.folder, self.listed = options.get("path"), options.get("archives")
+        self.folder, self.listed, self.table = options.get("path"), options.get("archives"), options.get("table")
         self.split_bytes = int(options.get("split_bytes", 16 << 20))
         self.batch_bytes = int(options.get("batch_bytes", 8 << 20))
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[_Range]:
-        if self.listed is not None:
+        if self.table is not None:  # read here, on the driver: no task gets the list
+            fs, path = _open(self.table)
+            rows = dataset(path, filesystem=fs, format="parquet").to_table(columns=["archive", "size"])
+            files = sorted(zip(rows.column("archive").to_pylist(), rows.column("size").to_pylist(), strict=True))
+        elif self.listed is not None:
             files = [x.rsplit("\t", 1) for x in self.listed.split("\n") if x]
         else:
             fs, path = _open(self.folder)
@@ -214,7 +219,8 @@ class _Reader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """``spark.read.format("media_archive")``: a folder (load path), or the option ``archives`` (lines of name, tab, size)."""
+    """``spark.read.format("media_archive")``: a folder (load path), the option ``table`` (a stored Parquet table of archive and
+    size), or the option ``archives`` (lines of name, tab, size)."""
 
     @classmethod
     def name(cls) -> str:
@@ -228,10 +234,12 @@ class ArchiveSource(DataSource):
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, **options) -> DataFrame:
-    """Members of the listed archives. The list has one short line for each archive of 64 MB, so planning stays small."""
+    """Members of the listed archives. Only the place of the stored list goes into the plan; planning reads it (a short row for
+    each archive of 64 MB), and each task gets its own archive and byte range."""
     spark.dataSource.register(ArchiveSource)
-    listed = "\n".join(f"{r.archive}\t{r.size}" for r in archives.select("archive", "size").orderBy("archive").toLocalIterator())
-    return spark.read.format("media_archive").options(archives=listed, **options).load()
+    if getattr(archives, "_siftloom_path", None) is None:
+        archives = materialize(archives.select("archive", "size"), "archives")
+    return spark.read.format("media_archive").options(table=archives._siftloom_path, **options).load()
 
 
 def features(members: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,8 +1,11 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import pickle
 import random
 import re
+import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -499,6 +502,25 @@ def test_licenses(spark, edge, nothing):
     assert len(licenses.scan(edge).collect()) == 7 and licenses.scan(nothing).count() == 0
 
 
+def test_licenses_in_any_wrapping(spark):
+    """Every known whole text is found at any line width, with copyright lines of all kinds; body lines are kept."""
+    whole = [(n, t) for n, t in licenses.KNOWN if len(t) > 300]
+    lines = ["Copyright (c) 2020 Someone", "Copyright Jane Doe and others. All rights", "reserved.", "(C) 1999 A. Holder", "© The Authors", "# copyright 2001-2003 x"]
+    rows, want = [], []
+    for k, (name, text) in enumerate(whole):
+        for width in range(40, 101, 4 + k % 3):
+            rows.append("\n\n".join([lines[width % 2 * 3] if width % 5 else "\n".join(lines), *(textwrap.fill(x, width, break_on_hyphens=False) for x in text.split("\n"))]))
+            want.append(name)
+    rows += [licenses.MIT.replace("The above copyright notice", "Copyright notice"), "The parts\ncopyright is held by\n(c) You must retain this"]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    assert [got[i].license for i in range(len(want))] == want
+    assert got[len(want)].license is None
+    pdf = d.toPandas()  # noqa: F841
+    theirs = {r[0]: r[1:] for r in duckdb.sql(licenses.sql().replace("from documents", "from pdf")).fetchall()}
+    assert theirs == {k: tuple(r)[1:] for k, r in got.items()}
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -598,6 +620,42 @@ def test_media(spark, edge, nothing, tmp_path):
     assert spark.read.format("media_archive").load(str(tmp_path / "a")).count() == 7
 
 
+def test_media_against_brute_force(spark):
+    """Every column from the contract's words, without the module's functions."""
+    texts = ["", None, "x", "a" * 576, "b" * 577, "é" * 300, " ".join(words(800, 97)), "word " * 30000]
+    for r in media.media_columns(docs(spark, texts)).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        pay = raw
+        while not pay or len(pay) % 576:
+            pay += b"\xff"
+        wav = b"RIFF" + struct.pack("<I", 36 + len(pay)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(pay)) + pay
+        means = [np.mean(list(pay[len(pay) * k // 64 : len(pay) * (k + 1) // 64])) for k in range(64)]
+        bits = "".join("1" if m > np.median(means) else "0" for m in means)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), hashlib.sha256(pay).hexdigest(), zlib.crc32(pay[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(wav), hashlib.sha256(wav).hexdigest(), f"{int(bits, 2):016x}")
+
+
+def test_member_is_read_again(tmp_path):
+    """A read that fails once is tried anew by the member's own offset; the others are not touched."""
+    out = media._Out(str(tmp_path))
+    for i in range(3):
+        out.add(i, 5, media.to_wav(random.Random(i).randbytes(576)))
+    uri, size, _ = out.close()
+    reader = media._Reader({"archives": f"{uri}\t{size}", "retries": "2"})
+    fs, path = media._open(uri)
+    tries = []
+
+    class Failing:
+        def seek(self, at):
+            tries.append(at)
+            raise OSError("lost")
+
+    with fs.open_input_file(path) as f, media.zipfile.ZipFile(media._In(f)) as z:
+        info = z.infolist()[1]
+        assert reader.member(fs, path, Failing(), info) == media.to_wav(random.Random(1).randbytes(576)) and tries == [info.header_offset]
+    assert len(pickle.dumps(media._Reader({"table": "x"}))) < 300
+
+
 def test_member_retry(tmp_path, spark):
     out = media._Out(str(tmp_path))
     for i in range(3):
