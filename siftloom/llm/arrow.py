@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 #: Bytes of a batch of texts. Spark's default of 64 MiB is held several times over by each task: in the JVM's Arrow
 #: buffers, on its way, and in Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -55,7 +55,7 @@ def tidy(fn: Callable) -> Callable:
     return run
 
 
-def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] = (), max_bytes: int = 16 << 20) -> Callable:
+def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] = (), max_bytes: int = 4 << 20) -> Callable:
     """A function for mapInArrow: ``fn(*values of cols)`` gives a tuple of new values for each row.
 
     ``keep`` columns pass through. Output batches stay near ``max_bytes`` of input text.
@@ -78,7 +78,7 @@ def per_row(fn: Callable, schema: pa.Schema, *cols: str, keep: tuple[str, ...] =
     return run
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000, size: int = 16 << 20) -> Iterator[pa.Table]:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 100_000, size: int = 6 << 20) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows or ``size`` bytes from sorted batches that never cut a run of equal ``keys``.
 
     A longer run comes whole; callers bound their runs by chunking hot keys before the shuffle.
