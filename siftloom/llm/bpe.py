@@ -51,7 +51,7 @@ class _Memo(dict):
 class Codec:
     """Encoder and decoder for one vocabulary: ``ranks`` maps token bytes to ids, ``pattern`` cuts texts into pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
         self.ranks = ranks
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
@@ -59,12 +59,12 @@ class Codec:
         self.names = [str(i) for i in range(len(self.bytes_of))]
         self.split = regex.compile(pattern).findall
         self.cut = re.compile(r" (?=\S)").split if pattern == SPACE_FIRST else lambda text: [text]
-        self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), PIECES)
-        self.chunks = _Memo(self._chunk, CHUNKS)
+        self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), int(PIECES * memory))
+        self.chunks = _Memo(self._chunk, int(CHUNKS * memory))
         self.sizes = list(map(len, self.bytes_of))
-        self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), PAIRS)
-        self.moves = _Memo(lambda key: self._move(self.heads[key >> 8] + bytes((key & 255,))), MOVES)
-        self.ending = _Memo(self._ending, PAIRS)
+        self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), int(PAIRS * memory))
+        self.moves = _Memo(lambda key: self._move(self.heads[key >> 8] + bytes((key & 255,))), int(MOVES * memory))
+        self.ending = _Memo(self._ending, int(PAIRS * memory))
 
     @cached_property
     def heads(self) -> list[bytes]:
@@ -197,19 +197,22 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 
 class Vocabulary:
-    """A vocabulary file read on the driver and broadcast (its size is that of the file, about 1 MB)."""
+    """A vocabulary file read on the driver and broadcast (its size is that of the file, about 1 MB).
 
-    def __init__(self, spark: SparkSession, path: str, pattern: str):
+    ``memory`` scales what an encoder remembers: less takes more time, never other ids.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, pattern: str, memory: float = 1.0):
         with open(path, "rb") as f:
             data = f.read()
         self.sent = spark.sparkContext.broadcast(data)
-        self.key = (hashlib.md5(data).hexdigest(), pattern)
-        self.pattern = pattern
+        self.key = (hashlib.md5(data).hexdigest(), pattern, memory)
+        self.pattern, self.memory = pattern, memory
 
     def codec(self) -> Codec:
         """One codec per worker process and vocabulary."""
         if self.key not in _codecs:
-            _codecs[self.key] = Codec(read_ranks(self.sent.value), self.pattern)
+            _codecs[self.key] = Codec(read_ranks(self.sent.value), self.pattern, self.memory)
         return _codecs[self.key]
 
 

@@ -17,8 +17,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(spark: SparkSession, path: str | None = None) -> bpe.Vocabulary:
-    return bpe.Vocabulary(spark, path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+def vocabulary(spark: SparkSession, path: str | None = None, memory: float = 1.0) -> bpe.Vocabulary:
+    return bpe.Vocabulary(spark, path or public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, memory)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
