@@ -120,7 +120,7 @@ def fragments(size: int, read: Callable[[int, int], bytes], vdi: bool = False, c
 def split_images(images: DataFrame, name: str = "name", data: str = "data", **options) -> DataFrame:
     """name, infile_nb, offset, sectors, signature, type of images that are held as binary cells (small images, tests).
 
-    Large images are read by byte range: see ``siftloom.sources.images``.
+    Large images are read by byte range: see ``ImageFragments`` in ``siftloom.sources.images``.
     """
     schema = "name string, infile_nb int, offset long, sectors long, signature int, type int"
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftloom.functions.digests import blank_digest, composite_digest
+from siftloom.operators.numbering import numbered
 
 
 def fixed_blocks(df: DataFrame, size: int, data: str = "bytes", keep: tuple[str, ...] = (), with_data: bool = False) -> DataFrame:
@@ -74,3 +75,18 @@ def compare_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def sectors(bytes_: Column, size: int = 512) -> Column:
     return F.ceil(bytes_ / size).cast("long")
+
+
+def every_kth(blocks: DataFrame, k: int = 10) -> DataFrame:
+    """md5: the first, (k + 1)-th ... of the distinct digests in order."""
+    return numbered(blocks.select("md5").distinct(), ["md5"], "nth").where(F.col("nth") % k == 0).select("md5")
+
+
+def find_blocks(blocks: DataFrame, md5s: DataFrame) -> DataFrame:
+    """All blocks whose digest is in ``md5s``, with their places; repeats in ``md5s`` change nothing."""
+    return blocks.join(md5s.select("md5").distinct(), "md5", "left_semi")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0) -> DataFrame:
+    """Rows in an order that depends on ``key`` and ``seed`` alone, so that reruns and other layouts agree."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)

@@ -77,6 +77,49 @@ def file_dedup(files: DataFrame, by: tuple[str, ...] = (), block_size: int = 409
     return files.where("digest is not null").withColumn("r", F.row_number().over(w)).where("r = 1").drop("r").withColumn("stored_as", F.when(F.col("size") < block_size, "file").otherwise("blocks"))
 
 
+def file_block_dedup(files: DataFrame, blocks: DataFrame, size: int, cluster: str = "cluster", ord_: str = "fragment") -> DataFrame:
+    """How each file is stored when whole files are compared before blocks, cluster by cluster.
+
+    ``files``: cluster, fragment, digest, size (stored, since it is read twice); ``blocks``: their full blocks. keeper is the
+    first file of the digest in the cluster. stored_as: copy (a repeat of the keeper), file (below ``size``) or blocks; a keeper
+    stored as blocks has block_num full blocks, of which new_blocks occur in no file kept before, and a tail of last_size bytes.
+    Digests and ids are shuffled, no data.
+    """
+    first = files.where("digest is not null").groupBy(cluster, "digest").agg(F.min(ord_).alias("keeper"))
+    kept = files.join(first, [cluster, "digest"])
+    large = kept.where((F.col(ord_) == F.col("keeper")) & (F.col("size") >= size)).select(cluster, ord_)
+    new = first_ids(blocks.where("is_full").join(large, [cluster, ord_], "left_semi"), cluster, ord_)
+    counts = new.groupBy(cluster, F.col("first.fragment").alias(ord_)).agg(F.count("*").alias("new_blocks"))
+    how = F.when(F.col(ord_) != F.col("keeper"), "copy").when(F.col("size") < size, "file").otherwise("blocks")
+    in_blocks = how == "blocks"
+    out = kept.join(counts, [cluster, ord_], "left")
+    return out.select(
+        cluster,
+        ord_,
+        "keeper",
+        how.alias("stored_as"),
+        F.when(in_blocks, F.floor(F.col("size") / size)).otherwise(0).cast("long").alias("block_num"),
+        F.when(in_blocks, F.coalesce("new_blocks", F.lit(0))).otherwise(0).cast("long").alias("new_blocks"),
+        F.when(how == "copy", 0).when(how == "file", F.col("size")).otherwise(F.col("size") % size).cast("long").alias("last_size"),
+    )
+
+
+def merge_parts(fragments: DataFrame, part_bytes: int, image: str = "image") -> DataFrame:
+    """image, part, data: fragments (image, byte_offset, data) merged back into parts of ``part_bytes`` bytes of their image.
+
+    A fragment that crosses parts is cut first, so that an image of any size is merged by as many tasks as it has parts.
+    Fragments cover their image without gaps; null and empty ones have no bytes.
+    """
+    n = F.octet_length("data")
+    first = F.floor(F.col("byte_offset") / part_bytes)
+    last = F.floor((F.col("byte_offset") + n - 1) / part_bytes)
+    each = fragments.where(n > 0).select(image, "byte_offset", "data", F.explode(F.sequence(first, last)).alias("part"))
+    start = F.greatest(F.col("part") * part_bytes - F.col("byte_offset"), F.lit(0).cast("long"))
+    stop = F.least(F.col("part") * part_bytes + part_bytes - F.col("byte_offset"), n.cast("long"))
+    cut = each.select(image, "part", (F.col("byte_offset") + start).alias("at"), F.substring(F.col("data"), (start + 1).cast("int"), (stop - start).cast("int")).alias("data"))
+    return cut.groupBy(image, "part").agg(F.expr("listagg(data, x'') within group (order by at)").alias("data"))
+
+
 # --- hash-table operations -------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from siftloom.operators import dedup as D
 from siftloom.operators import pairs as P
 from siftloom.operators import sketches as S
 from siftloom.session import materialize, new_path
+from siftloom.sources import files, images
 from siftloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,8 +133,6 @@ def block_layout(spark, sf):
 
 @query(f"with {BLK}, f as (select fragment, row_number() over (partition by cluster order by fragment) as r, cluster from obj), a as (select blk.cluster, pos, md5 from blk join f using (fragment) where r = 1 and is_full), b as (select blk.cluster, pos, md5 from blk join f using (fragment) where r = 2 and is_full) select a.cluster, a.pos, a.md5 as md5_a, b.md5 as md5_b from a join b on a.cluster = b.cluster and a.pos = b.pos where a.md5 <> b.md5")
 def block_diff(spark, sf):
-    from pyspark.sql import Window
-
     o = objects(spark, sf)
     first = o.select("cluster", "fragment").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("fragment"))).where("r <= 2")
     b = B.fixed_blocks(o.join(first.select("fragment", "r"), "fragment"), SIZE, keep=("cluster", "r")).where("is_full")
@@ -141,6 +140,29 @@ def block_diff(spark, sf):
     return left.join(right, ["cluster", "pos"]).where("md5_a <> md5_b")
 
 
+@query(f"with {BLK} select md5 from (select md5, row_number() over (order by md5) as r from (select distinct md5 from blk where is_full)) where r % 10 = 1")
+def every_tenth_block(spark, sf):
+    return B.every_kth(full(spark, sf), 10)
+
+
+@query(f"with {BLK} select fragment, pos, byte_offset, md5 from blk where pos > 0 and md5 in (select md5 from blk where pos = 0)")
+def block_lookup(spark, sf):
+    b = materialize(blocks(spark, sf), "blocks")
+    return B.find_blocks(b.where("pos > 0"), b.where("pos = 0")).select("fragment", "pos", "byte_offset", "md5")
+
+
+@query(f"with {BLK} select count(*) as total_blocks, count(distinct data) as unique_blocks, 128 as digits from blk where is_full")
+def sha512_blocks(spark, sf):
+    b = blocks(spark, sf, with_data=True).where("is_full").select(F.sha2("data", 512).alias("digest"))
+    per = b.groupBy("digest").agg(F.count("*").alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_blocks"), F.count("*").alias("unique_blocks"), F.coalesce(F.max(F.length("digest")), F.lit(128)).alias("digits"))
+
+
+@query(f"with {OBJ} select fragment, type from obj")
+def shuffle_fragments(spark, sf):
+    return B.shuffled(objects(spark, sf).select("fragment", "type"), "fragment", 7)
+
+
 # --- sketches and pairs ----------------------------------------------------------------------------------------------
 
 
@@ -149,16 +171,16 @@ def simhash_log(spark, sf):
     return S.block_simhash(B.drop_blank(full(spark, sf), SIZE), ("fragment",), "log", objects(spark, sf))
 
 
-@query(f"with {BLK}, feat as (select fragment, md5, count(*) * 4096 as weight from blk group by 1, 2), {bits_sql('feat', 'fragment')} select fragment, simhash from sim")
+@query(f"with {BLK}, feat as (select fragment, md5, count(*) * 4096 as weight from blk where md5 <> md5(unhex(repeat('00', {SIZE}))) group by 1, 2), {bits_sql('feat', 'fragment')} select fragment, simhash from sim")
 def simhash_count(spark, sf):
-    return S.block_simhash(blocks(spark, sf), ("fragment",), "count4096")
+    return S.block_simhash(B.drop_blank(blocks(spark, sf), SIZE), ("fragment",), "count4096")
 
 
 @query(f"with {OBJ}, {_COMPOSITE}, feat as (select cluster, digest as md5, sum(n) as weight from comp join obj using (fragment) group by 1, 2), {bits_sql('feat', 'cluster')} select cluster, simhash from sim")
 def simhash_file(spark, sf):
     o = objects(spark, sf).withColumn("n", F.octet_length("bytes"))
-    files = B.composite(o, SIZE, keep=("cluster", "n")).groupBy("cluster", F.col("digest").alias("md5")).agg(F.sum("n").alias("weight"))
-    return S.simhash128(files, ("cluster",))
+    files_ = B.composite(o, SIZE, keep=("cluster", "n")).groupBy("cluster", F.col("digest").alias("md5")).agg(F.sum("n").alias("weight"))
+    return S.simhash128(files_, ("cluster",))
 
 
 def sims(spark, sf) -> DataFrame:
@@ -328,6 +350,50 @@ def kmeans17(spark, sf):
     return C.kmeans(s.withColumn("vector", C.bits_vector(F.col("simhash"))), 17, 9, "fragment")
 
 
+@query(f"with {OBJ}, t as (select cluster, type, count(*)::double as n from obj group by 1, 2), s as (select (select sum(n * (n - 1) / 2) from t) as nij, (select sum(m * (m - 1) / 2) from (select sum(n) as m from t group by cluster)) as ai, (select sum(m * (m - 1) / 2) from (select sum(n) as m from t group by type)) as bj, (select sum(n) * (sum(n) - 1) / 2 from t) as every_) select round(case when (ai + bj) / 2 = ai * bj / every_ then 1.0 else (nij - ai * bj / every_) / ((ai + bj) / 2 - ai * bj / every_) end, 6) as ari from s")
+def adjusted_rand(spark, sf):
+    return C.adjusted_rand(objects(spark, sf).select("cluster", "type"), "cluster", "type")
+
+
+@query(f"""with {BLK}, {LOG}, lab as (select cluster as label, simhash from sim join obj using (fragment)),
+one as (select label, i, sum((cast(concat('0x', simhash[(i // 4 + 1):(i // 4 + 1)]) as int) >> (3 - i % 4)) & 1)::double as s, count(*)::double as n from lab, range(128) t(i) group by label, i),
+per as (select i, sum(s * s / n) as sq, sum(s) as x, sum(s) * sum(s) as t, sum(n) as n, count(*) as k from one group by i),
+total as (select sum(sq) as sq, sum(x) as x, sum(t) as t, max(n) as n, max(k) as k from per)
+select round(case when k > 1 and x - sq > 0 then ((sq - t / n) / (k - 1)) / ((x - sq) / (n - k)) end, 6) as score from total""")
+def calinski_harabasz(spark, sf):
+    s = sims(spark, sf).join(objects(spark, sf).select("fragment", F.col("cluster").alias("label")), "fragment")
+    return C.calinski_harabasz(s.select("label", "simhash"))
+
+
+def image_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Images (clusters) as id with their similarity rows, and the Dice similarities behind these."""
+    sets = materialize(blocks(spark, sf).select(F.col("cluster").alias("id"), "md5").distinct(), "sets")
+    pairs = materialize(P.dice_pairs(sets), "dice")
+    return C.similarity_rows(sets.select("id").distinct(), pairs, "dice"), pairs
+
+
+@query(f"with {BLK}, s as (select distinct cluster, md5 from blk), c as (select cluster, count(*) as n from s group by 1), common as (select x.cluster as a, y.cluster as b, count(*) as k from s x join s y using (md5) group by 1, 2) select a.cluster as id, string_agg(cast(case when a.cluster = b.cluster then 1000000 else coalesce(round(round(2 * k / (a.n + b.n), 6) * 1000000), 0) end as bigint), ',' order by b.cluster) as millionths from c a cross join c b left join common on common.a = a.cluster and common.b = b.cluster group by 1")
+def similarity_rows(spark, sf):
+    rows, _ = image_rows(spark, sf)
+    return rows.select("id", F.array_join(F.transform("vector", lambda v: F.round(v * 1_000_000).cast("long").cast("string")), ",").alias("millionths"))
+
+
+def _image_labels(spark, sf, k: int, seed: int = 9) -> DataFrame:
+    rows, _ = image_rows(spark, sf)
+    return C.kmeans(rows, k, seed)
+
+
+@query(None)
+def kmeans12(spark, sf):
+    return _image_labels(spark, sf, 12)
+
+
+@query(None)
+def spectral12(spark, sf):
+    rows, pairs = image_rows(spark, sf)
+    return C.spectral(rows, pairs, "dice", 12)
+
+
 # --- dedup and rebuild -----------------------------------------------------------------------------------------------
 
 FIRST = """, f as (select {p}, md5, fragment, pos, row_number() over (partition by {p}, md5 order by fragment, pos) as r from blk where is_full), ids as (select {p}, md5, fragment, pos, row_number() over (partition by {p} order by fragment, pos) - 1 as block_id from f where r = 1)"""
@@ -348,6 +414,76 @@ def global_dedup(spark, sf):
     return D.first_ids(full(spark, sf).withColumn("cluster", F.lit(0))).select("md5", "block_id")
 
 
+@query(f"with {BLK.replace('select cluster, fragment, pos', 'select fragment as cluster, fragment, pos')}" + FIRST.format(p="cluster") + " select cluster as fragment, md5, block_id from ids")
+def single_file_dedup(spark, sf):
+    own = full(spark, sf).withColumn("cluster", F.col("fragment"))
+    return D.first_ids(own).select(F.col("cluster").alias("fragment"), "md5", "block_id")
+
+
+@query(f"with {BLK.replace('select cluster, fragment, pos', 'select cast(fragment % 10 as bigint) as cluster, fragment, pos')}" + FIRST.format(p="cluster") + " select cluster as label, md5, block_id from ids where cluster in (0, 1, 6, 8)")
+def nonfs_dedup(spark, sf):
+    o = objects(spark, sf).where(~C.is_fs(F.col("type"))).withColumn("cluster", C.non_fs_label(F.col("type"), None).cast("long"))
+    b = B.fixed_blocks(o, SIZE, keep=("cluster", "fragment")).where("is_full")
+    return D.first_ids(b).select(F.col("cluster").alias("label"), "md5", "block_id")
+
+
+@query(f"""with {BLK}, {_COMPOSITE}, k as (select cluster, fragment, n, min(fragment) over (partition by cluster, digest) as keeper from comp join obj using (fragment)),
+f as (select blk.cluster, md5, fragment, row_number() over (partition by blk.cluster, md5 order by fragment, pos) as r from blk join k using (fragment) where is_full and fragment = keeper and k.n >= {SIZE}),
+c as (select fragment, count(*) as new_blocks from f where r = 1 group by 1),
+h as (select *, case when fragment <> keeper then 'copy' when n < {SIZE} then 'file' else 'blocks' end as stored_as from k left join c using (fragment))
+select cluster, fragment, keeper, stored_as, cast(case when stored_as = 'blocks' then n // {SIZE} else 0 end as bigint) as block_num, cast(case when stored_as = 'blocks' then coalesce(new_blocks, 0) else 0 end as bigint) as new_blocks, cast(case stored_as when 'copy' then 0 when 'file' then n else n % {SIZE} end as bigint) as last_size from h""")
+def file_block_dedup(spark, sf):
+    o = objects(spark, sf).withColumn("size", F.octet_length("bytes").cast("long"))
+    whole = materialize(B.composite(o, SIZE, keep=("cluster", "fragment", "size")), "digests")
+    return D.file_block_dedup(whole, blocks(spark, sf), SIZE)
+
+
+@query(None)
+def kmeans_dedup(spark, sf):
+    labels = _image_labels(spark, sf, 17).select(F.col("id").alias("cluster"), "label")
+    b = full(spark, sf).join(F.broadcast(labels), "cluster")  # one label an image; images are few (similarity_rows)
+    return D.first_ids(b, "label").select("label", "md5", "block_id")
+
+
+PART = 1 << 16
+
+
+@query(f"with {OBJ}, place as (select cluster, b, n, coalesce(sum(n) over (partition by cluster order by fragment rows between unbounded preceding and 1 preceding), 0)::bigint as o from obj where n > 0), cut as (select cluster, part, o, b[(greatest(part * {PART} - o, 0) + 1)::bigint:least(part * {PART} + {PART} - o, n)::bigint] as piece from (select *, unnest(range(o // {PART}, (o + n - 1) // {PART} + 1)) as part from place)) select cluster as image, part, cast(sum(octet_length(piece)) as bigint) as size, md5(string_agg(hex(piece), '' order by o)) as md5 from cut group by 1, 2")
+def merge_parts(spark, sf):
+    o = objects(spark, sf).select("cluster", "fragment", "bytes", F.octet_length("bytes").cast("long").alias("n")).where("n > 0")
+    # offsets in two levels: inside buckets of fragments, and over the buckets of an image
+    o = o.withColumn("bucket", F.floor(F.col("fragment") / D.BUCKET))
+    sizes = materialize(o.select("cluster", "fragment", "bucket", "n"), "sizes")
+    inside = sizes.withColumn("i", F.sum("n").over(Window.partitionBy("cluster", "bucket").orderBy("fragment")) - F.col("n"))
+    sums = sizes.groupBy("cluster", "bucket").agg(F.sum("n").alias("s"))
+    before = sums.withColumn("before", F.sum("s").over(Window.partitionBy("cluster").orderBy("bucket")) - F.col("s")).drop("s")
+    offsets = inside.join(before, ["cluster", "bucket"]).select("fragment", (F.col("before") + F.col("i")).alias("byte_offset"))
+    placed = o.join(offsets, "fragment").select(F.col("cluster").alias("image"), "byte_offset", F.col("bytes").alias("data"))
+    got = D.merge_parts(placed, PART)
+    return got.select("image", "part", F.octet_length("data").cast("long").alias("size"), F.md5(F.hex("data")).alias("md5"))
+
+
+@query(f"with {OBJ} select concat('f', fragment) as name, concat('cluster-', cluster, '.json') as dedup_map_json, cast(n as bigint) as size, case type when 8 then -1 else type end as type from obj")
+def json_sidecars(spark, sf):
+    """Fragments and their cluster map written as JSON, read back by their schemas and joined by name."""
+    o = objects(spark, sf).select(F.concat(F.lit("f"), "fragment").alias("name"), "cluster", F.octet_length("bytes").cast("long").alias("size"), F.when(F.col("type") != 8, F.col("type")).alias("type"))
+    frags, maps = new_path(spark, "fragments"), new_path(spark, "map")
+    files.write_json(o, frags)
+    files.write_json(files.cluster_map(o), maps)
+    one = files.read_json(spark, frags, "name string, cluster long, size long, type int")
+    return one.join(files.read_json(spark, maps, "name string, dedup_map_json string"), "name").select("name", "dedup_map_json", "size", F.coalesce("type", F.lit(-1)).alias("type"))
+
+
+@query("select concat('/', lang, '/', doc_id, '.txt') as path, cast(case when doc_id % 2 = 0 then 420 else 493 end as int) as mode, octet_length(encode(text)) as size, md5(text) as md5 from documents")
+def package_roundtrip(spark, sf):
+    """Packages of a hundred documents, deduplicated inside, and unpacked again with paths and modes."""
+    d = table(spark, sf, "documents")
+    mode = F.when(F.col("doc_id") % 2 == 0, 0o644).otherwise(0o755)
+    rows = d.select(F.floor(F.col("doc_id") / 100).alias("package"), F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), mode.alias("mode"), F.encode("text", "UTF-8").alias("data"))
+    got = files.unpacked(files.packages(rows, block=SIZE))
+    return got.select("path", "mode", F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("md5"))
+
+
 @query("select doc_id as fragment, md5(text) as md5, octet_length(encode(text)) as size from documents where octet_length(encode(text)) > 0")
 def rebuild_check(spark, sf):
     base, recipes, tails = D.store(blocks(spark, sf, with_data=True))
@@ -364,8 +500,8 @@ coalesce(string_agg(case when link is null and r = 1 then path end, ',' order by
 coalesce(string_agg(case when link = 's' then path end, ',' order by path), '') as s_link, max(size) as size from rk group by 1""")
 def file_groups(spark, sf):
     o = objects(spark, sf).withColumn("size", F.octet_length("bytes").cast("long"))
-    files = B.composite(o, SIZE, keep=("fragment", "size")).select("digest", (F.col("fragment") % 50).alias("inode"), F.concat(F.lit("/d/"), "fragment").alias("path"), F.when(F.col("fragment") % 7 == 3, "s").alias("link"), "size")
-    g = D.file_groups(files)
+    listed = B.composite(o, SIZE, keep=("fragment", "size")).select("digest", (F.col("fragment") % 50).alias("inode"), F.concat(F.lit("/d/"), "fragment").alias("path"), F.when(F.col("fragment") % 7 == 3, "s").alias("link"), "size")
+    g = D.file_groups(listed)
     return g.select("digest", "num", *[F.array_join(c, ",").alias(c) for c in ("real_dir", "h_link", "s_link")], "size")
 
 
@@ -377,8 +513,6 @@ def small_file_split(spark, sf):
 
 @query(f"with {OBJ} select cluster, fragment, row_number() over (partition by cluster order by fragment) as nb, cast(coalesce(sum((n + 511) // 512) over (partition by cluster order by fragment rows between unbounded preceding and 1 preceding), 0) as bigint) as sector_offset, case type when 0 then 8 when 7 then 2 when 6 then 4 else 8 end as ftype from obj")
 def fragment_layout(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("cluster").orderBy("fragment")
     o = objects(spark, sf).select("cluster", "fragment", "type", B.sectors(F.octet_length("bytes")).alias("s"))
     return o.select("cluster", "fragment", F.row_number().over(w).alias("nb"), F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("sector_offset"), disks.fragment_type_col(F.col("type")).alias("ftype"))
@@ -392,10 +526,31 @@ def _hash_sql(name: str, start: int, step: str) -> str:
     return f"cast(list_reduce(list_prepend({start}::bigint, {codes}), lambda h, c: ({step}) & 4294967295) & 2147483647 as bigint) as {name}"
 
 
-@query("select page_id, " + ", ".join([_hash_sql("simple", 0, "h * 31 + c"), _hash_sql("js", 1315423911, "xor(h, (((h << 5) & 4294967295) + c + (h >> 2)) & 4294967295)"), _hash_sql("bkdr", 0, "h * 131 + c"), _hash_sql("djb", 5381, "h * 33 + c"), _hash_sql("sdbm", 0, "h * 65599 + c")]) + " from pages")
+def _wide_sql(name: str, start: int, step: str) -> str:
+    """A fold whose state h has 64 bits: the hash below, something else above bit 32. i counts from 0 in ``step``."""
+    codes = "list_transform(range(1, length(url) + 1), lambda j: ord(substr(url, j, 1))::hugeint + ((j - 1)::hugeint << 32))"
+    body = step.replace("{c}", "(x & 4294967295)").replace("{i}", "(x >> 32)").replace("{h}", "(h & 4294967295)").replace("{a}", "(h >> 32)")
+    return f"cast(list_reduce(list_prepend({start}::hugeint, {codes}), lambda h, x: {body}) & 2147483647 as bigint) as {name}"
+
+
+_CODES = [
+    _hash_sql("simple", 0, "h * 31 + c"),
+    _hash_sql("js", 1315423911, "xor(h, (((h << 5) & 4294967295) + c + (h >> 2)) & 4294967295)"),
+    _hash_sql("bkdr", 0, "h * 131 + c"),
+    _hash_sql("djb", 5381, "h * 33 + c"),
+    _hash_sql("sdbm", 0, "h * 65599 + c"),
+    _wide_sql("rs", 63689 << 32, "(({h} * {a} + {c}) & 4294967295) + ((({a} * 378551) & 4294967295) << 32)"),
+    *[_hash_sql(n, 0, "xor((h << 4) + c, (((h << 4) + c) & 4026531840) >> 24) & 268435455") for n in ("pjw", "elf")],
+    _wide_sql("ap", 0, "case when {i} % 2 = 0 then xor({h}, xor(xor({h} << 7, {c}), {h} >> 3)) & 4294967295 else xor(xor({h}, xor(xor({h} << 11, {c}), {h} >> 5)), 4294967295::hugeint) & 4294967295 end"),
+    "cast(65535 - coalesce(list_sum(list_transform(range(1, length(url) + 1), lambda j: ord(substr(url, j, 1)) * case when j % 2 = 1 then 1 else 256 end)) - 1, -1) % 65535 - 1 as bigint) as crc",
+    "cast(list_reduce(list_prepend(0::hugeint, list_transform(range(0, (length(url) + 1) // 2), lambda w: (ord(substr(url, 2 * w + 1, 1)) + 256 * case when 2 * w + 2 <= length(url) then ord(substr(url, 2 * w + 2, 1)) else 0 end)::hugeint << (w % 16)::int)), lambda h, x: xor(h, x)) & 4294967295 as bigint) as \"table\"",
+]
+
+
+@query("select page_id, " + ", ".join(_CODES) + " from pages")
 def string_hashes(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
-    return p.select("page_id", *[digests.string_hash(n)(F.col("url")).alias(n) for n in ("simple", "js", "bkdr", "djb", "sdbm")])
+    return p.select("page_id", *[digests.string_hash(n)(F.col("url")).alias(n) for n in digests.STRING_HASHES])
 
 
 @query("select page_id, regexp_extract(url, '([^/]*)$', 1) as file_name, cast(contains(html, 'usr') as boolean) as has_usr, 4::int as kind from pages")
@@ -471,18 +626,45 @@ def sample_disk(kind: str) -> bytes:
     return bytes(1000)
 
 
-@query("""select * from (values ('ext.raw', 0, 0::bigint, 64::bigint, 0, 1), ('ext.raw', 1, 64, 100, 131, 5), ('ext.raw', 2, 164, 100, 11, 4), ('ext.raw', 3, 264, 100, 7, 2), ('ext.raw', 4, 364, 10, 0, 1), ('ext.raw', 5, 374, 300, 131, 5), ('ext.raw', 6, 764, 20, 0, 1), ('ext.raw', 7, 784, 480, 130, 6),
-('gap.raw', 0, 0, 64, 0, 1), ('gap.raw', 1, 64, 448, 131, 5), ('gap.raw', 2, 512, 1536, 7, 2), ('gap.raw', 3, 2048, 100, 0, 8), ('mbr.raw', 0, 0, 64, 0, 1), ('mbr.raw', 1, 64, 448, 131, 5), ('mbr.raw', 2, 512, 1536, 7, 2), ('unknown.raw', 0, 0, 2, 0, 7)) t(name, infile_nb, "offset", sectors, signature, type)""")
-def image_split(spark, sf):
-    rows = [(f"{k}.raw", bytearray(sample_disk(k))) for k in ("mbr", "gap", "gpt", "ext", "unknown")]
-    images = spark.createDataFrame(rows, T.StructType([T.StructField("name", T.StringType()), T.StructField("data", T.BinaryType())]))
-    return disks.split_images(images)
+_SPLIT = """select * from (values ('ext.raw', 0, 0::bigint, 64::bigint, 0, 1), ('ext.raw', 1, 64, 100, 131, 5), ('ext.raw', 2, 164, 100, 11, 4), ('ext.raw', 3, 264, 100, 7, 2), ('ext.raw', 4, 364, 10, 0, 1), ('ext.raw', 5, 374, 300, 131, 5), ('ext.raw', 6, 764, 20, 0, 1), ('ext.raw', 7, 784, 480, 130, 6),
+('gap.raw', 0, 0, 64, 0, 1), ('gap.raw', 1, 64, 448, 131, 5), ('gap.raw', 2, 512, 1536, 7, 2), ('gap.raw', 3, 2048, 100, 0, 8), ('mbr.raw', 0, 0, 64, 0, 1), ('mbr.raw', 1, 64, 448, 131, 5), ('mbr.raw', 2, 512, 1536, 7, 2), ('unknown.raw', 0, 0, 2, 0, 7)) t(name, infile_nb, "offset", sectors, signature, type)"""
 
 
-@query("select page_id, case when octet_length(encode(html)) < 512 then 5 when ends_with(url, '.html') then 5 else 5 end as img_type, 3 as disk_type from pages")
+@query(_SPLIT)
+def image_split(spark, sf):
+    rows = [(f"{k}.raw", bytearray(sample_disk(k))) for k in ("mbr", "gap", "gpt", "ext", "unknown")]
+    held = spark.createDataFrame(rows, T.StructType([T.StructField("name", T.StringType()), T.StructField("data", T.BinaryType())]))
+    return disks.split_images(held)
+
+
+@query(_SPLIT.replace(") t(name", ", ('disk.vdi', 0, 0, 4096, 0, 0), ('disk.vdi', 1, 4096, 64, 0, 1), ('disk.vdi', 2, 4160, 448, 131, 5), ('disk.vdi', 3, 4608, 1536, 7, 2)) t(name"))
+def image_fragments(spark, sf):
+    """The generated images and a VDI file, written to the shared folder and split by reading their boot records only."""
+    folder = new_path(spark, "images")
+    data = {f"{k}.raw": sample_disk(k) for k in ("mbr", "gap", "gpt", "ext", "unknown")} | {"disk.vdi": bytes(disks.VDI_HEADER) + sample_disk("mbr")}
+    store, at = images.open_file(folder)
+    store.create_dir(at, recursive=True)
+    for name, content in data.items():
+        with store.open_output_stream(f"{at}/{name}") as f:
+            f.write(content)
+    spark.dataSource.register(images.ImageFragments)
+    got = spark.read.format("image_fragments").option("path", folder).load()
+    return got.select(F.substring_index("path", "/", -1).alias("name"), "infile_nb", "offset", "sectors", "signature", "type")
+
+
+@query("select page_id, cast(case when page_id % 5 = 4 then 5 when page_id % 5 = 0 then 2 else case page_id % 7 when 0 then 0 when 1 then 1 when 2 then 2 when 3 then 3 when 4 then 4 when 5 then 0 else 5 end end as int) as img_type, cast(case page_id % 5 when 1 then 0 when 2 then 1 when 3 then 2 else 3 end as int) as disk_type from pages")
 def image_types(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", "url", F.encode("html", "UTF-8").alias("b"))
-    return p.select("page_id", disks.image_type(F.col("url"), F.col("b"), F.octet_length("b")).alias("img_type"), disks.disk_type(F.col("b")).alias("disk_type"))
+    """Images named after the pages: a qcow2 head, an MBR, a GPT, an LVM label, or too short, by page_id."""
+    zeros = lambda n: F.lit(bytes(n))
+    heads = {0: F.concat(F.lit(b"QFI\xfb"), zeros(1020)), 1: F.concat(zeros(510), F.lit(b"\x55\xaa"), zeros(512)), 2: F.concat(zeros(510), F.lit(b"\x55\xaaEFI PART"), zeros(504)), 3: F.concat(zeros(512), F.lit(b"LABELONE"), zeros(504)), 4: zeros(100)}
+    name = lambda suffix: F.concat("url", F.lit(suffix))
+    head, path = heads[4], name(".html")
+    for k in range(4):
+        head = F.when(F.col("page_id") % 5 == k, heads[k]).otherwise(head)
+    for k, suffix in enumerate((".raw", ".vmdk", ".qcow2", ".vhd", ".vdi", ".RAW")):
+        path = F.when(F.col("page_id") % 7 == k, name(suffix)).otherwise(path)
+    p = table(spark, sf, "pages").select("page_id", path.alias("name"), head.alias("b"))
+    return p.select("page_id", disks.image_type(F.col("name"), F.col("b"), F.octet_length("b")).alias("img_type"), disks.disk_type(F.col("b")).alias("disk_type"))
 
 
 @query(f"with {BLK}, t as (select md5, min(fragment) as v from blk where cluster = 0 group by 1), u as (select md5, max(fragment) as v from blk where cluster = 1 group by 1), r as (select distinct md5 from blk where cluster = 2) select md5, v from (select * from u union all select * from t where md5 not in (select md5 from u)) where md5 not in (select md5 from r)")

@@ -17,7 +17,7 @@ from siftloom.operators import sketches as S
 from siftloom.operators.components import components
 from siftloom.plans import catalog
 from siftloom.sources import descr, files
-from siftloom.sources.images import ImageBlocks
+from siftloom.sources.images import ImageBlocks, ImageFragments
 from siftloom.streaming import streams
 
 A, BB, CC, Z = (bytes([c]) * 4096 for c in (65, 66, 67, 0))
@@ -175,6 +175,94 @@ def test_image_blocks_source(spark, tmp_path):
     assert [r.md5 for r in got][:2] == [MD5["A"], MD5["B"]] and not got[3].is_full and bytes(got[3].data) == b"end"
 
 
+def test_image_fragments_source(spark, tmp_path):
+    for k in ("mbr", "gap", "gpt", "ext", "unknown"):
+        (tmp_path / f"{k}.raw").write_bytes(catalog.sample_disk(k))
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "x.vdi").write_bytes(bytes(disks.VDI_HEADER) + catalog.sample_disk("mbr"))
+    spark.dataSource.register(ImageFragments)
+    got = {}
+    for r in spark.read.format("image_fragments").option("path", str(tmp_path)).load().orderBy("path", "infile_nb").collect():
+        got.setdefault(r.path.rpartition("/")[2], []).append((r.offset, r.sectors, r.type))
+    assert got.pop("x.vdi") == [(0, 4096, 0), (4096, 64, 1), (4160, 448, 5), (4608, 1536, 2)]
+    for name, rows in got.items():
+        d = catalog.sample_disk(name[:-4])
+        assert rows == [(o, n, t) for o, n, _, t in disks.fragments(len(d), lambda o, n: d[o : o + n])]
+    assert set(got) == {"mbr.raw", "gap.raw", "ext.raw", "unknown.raw"}
+
+
+def test_packages_keep_modes_and_directories(spark, tmp_path):
+    rows = [(1, "/a/b.bin", 0o755, bytearray(A + BB + b"t")), (1, "/a/c/d", 0o600, bytearray(BB + A)), (2, "e", None, None)]
+    df = spark.createDataFrame(rows, "package long, path string, mode int, data binary")
+    got = files.unpacked(files.packages(df), keep=("package",))
+    assert sorted((r.package, r.path, r.mode, bytes(r.data)) for r in got.collect()) == [(1, "/a/b.bin", 0o755, A + BB + b"t"), (1, "/a/c/d", 0o600, BB + A), (2, "e", 0o644, b"")]
+    files.extract(got, str(tmp_path))
+    assert (tmp_path / "a" / "c" / "d").read_bytes() == BB + A and (tmp_path / "a" / "b.bin").stat().st_mode & 0o777 == 0o755
+    assert (tmp_path / "e").read_bytes() == b""
+    with pytest.raises(Exception, match="outside"):
+        files.extract(spark.createDataFrame([("../x", 0o644, bytearray(b""))], "path string, mode int, data binary"), str(tmp_path))
+    assert files.packages(df.where("false")).count() == 0
+
+
+def test_images_are_written_at_their_offsets(spark, tmp_path):
+    rows = [("d/i.raw", 0, bytearray(A)), ("d/i.raw", 6000, bytearray(BB)), ("j.raw", 3, bytearray(b"x"))]
+    files.write_images(spark.createDataFrame(rows, "image string, byte_offset long, data binary"), f"file://{tmp_path}/out")
+    assert (tmp_path / "out" / "d" / "i.raw").read_bytes() == A + bytes(6000 - 4096) + BB
+    assert (tmp_path / "out" / "j.raw").read_bytes() == b"\0\0\0x"
+
+
+def test_merge_parts_cuts_fragments(spark):
+    data = bytes(range(256)) * 4
+    cuts = [0, 3, 100, 100, 700, 1024]
+    rows = [("i", a, bytearray(data[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [("n", 0, None)]
+    got = D.merge_parts(spark.createDataFrame(rows, "image string, byte_offset long, data binary"), 256)
+    assert {(r.image, r.part): bytes(r.data) for r in got.collect()} == {("i", k): data[256 * k : 256 * k + 256] for k in range(4)}
+
+
+def test_file_block_dedup(spark):
+    f = frame(spark, [A + BB, A + BB, BB + CC + b"x", b"tiny", b"tiny", b""]).withColumn("size", F.octet_length("bytes").cast("long"))
+    whole = B.composite(f, 4096, keep=("cluster", "fragment", "size"))
+    got = D.file_block_dedup(whole, B.fixed_blocks(f, 4096, keep=("cluster", "fragment")), 4096).orderBy("fragment").collect()
+    assert [(r.keeper, r.stored_as, r.block_num, r.new_blocks, r.last_size) for r in got] == [(0, "blocks", 2, 2, 0), (0, "copy", 0, 0, 0), (2, "blocks", 2, 1, 1), (3, "file", 0, 0, 4), (3, "copy", 0, 0, 0), (5, "file", 0, 0, 0)]
+
+
+def test_labels_from_similarities(spark):
+    ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 7, 8, 9, 20)], "id long")
+    near = [(1, 2), (1, 3), (2, 3), (7, 8), (7, 9), (8, 9)]
+    pairs = spark.createDataFrame([(a, b, 0.9) for a, b in near], "a long, b long, dice double")
+    rows = {r.id: r.vector for r in C.similarity_rows(ids, pairs, "dice").collect()}
+    assert rows[2] == [0.9, 1.0, 0.9, 0, 0, 0, 0] and rows[20] == [0] * 6 + [1.0]
+    of = {r.id: r.label for r in C.kmeans(C.similarity_rows(ids, pairs, "dice"), 3).collect()}
+    assert of[1] == of[2] == of[3] and of[7] == of[8] == of[9] and len(set(of.values())) == 3
+    of = {r.id: r.label for r in C.spectral(ids, pairs, "dice", 2).collect()}
+    assert of[1] == of[2] == of[3] and of[7] == of[8] == of[9] and of[20] == -1
+    none = C.similarity_rows(ids.where("false"), pairs, "dice")
+    assert none.count() == 0 and C.kmeans(none, 3).count() == 0
+
+
+def test_kmeans_dedup_covers_every_block(spark):
+    """Labels come from K-means; inside each label ids are dense and every digest of its images occurs once."""
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    got = catalog.kmeans_dedup(spark, sf).collect()
+    labels = {r.id: r.label for r in catalog._image_labels(spark, sf, 17).collect()}
+    want = {(labels[r.cluster], r.md5) for r in catalog.full(spark, sf).collect()}
+    assert {(r.label, r.md5) for r in got} == want and len(got) == len(want)
+    for label in set(labels.values()):
+        own = sorted(r.block_id for r in got if r.label == label)
+        assert own == list(range(len(own)))
+
+
+def test_block_samples(spark):
+    md5s = [f"{i:032x}" for i in range(25)]
+    df = spark.createDataFrame([(m,) for m in md5s * 2], "md5 string")
+    assert sorted(r.md5 for r in B.every_kth(df, 10).collect()) == [md5s[0], md5s[10], md5s[20]]
+    order = [r.md5 for r in B.shuffled(df.distinct(), "md5", 3).collect()]
+    assert sorted(order) == md5s and order != md5s and order == [r.md5 for r in B.shuffled(df.distinct().repartition(3), "md5", 3).collect()]
+    assert spark.createDataFrame([("NULL",), ("/mnt",)], "p string").select(C.has_path(F.col("p")).alias("x")).collect() == [(False,), (True,)]
+
+
 def test_rss_log(spark):
     lines = spark.createDataFrame([("03:34:04 AM 0 1 2 3 4 2048 0.1 x",), ("date",)], "value string")
     assert [r.rss_mb for r in files.rss_log(lines).collect()] == [2.0]
