@@ -56,7 +56,6 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, r in ranks.items():
             self.bytes_of[r] = token
-        self.names = [str(i) for i in range(len(self.bytes_of))]
         self.split = regex.compile(pattern).findall
         self.cut = re.compile(r" (?=\S)").split if pattern == SPACE_FIRST else lambda text: [text]
         self.pieces = _Memo(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), int(PIECES * memory))
@@ -66,6 +65,10 @@ class Codec:
         self.moves = _Memo(lambda key: self._move(self.heads[key >> 8] + bytes((key & 255,))), int(MOVES * memory))
         self.ending = _Memo(self._ending, int(PAIRS * memory))
 
+    @cached_property
+    def names(self) -> list[str]:
+        return [str(i) for i in range(len(self.bytes_of))]
+
     @cached_property
     def heads(self) -> list[bytes]:
         """Every beginning of every token; the automaton's states are their numbers, and 0 is the empty one."""
