@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from siftloom.session import new_path
+
+#: State of ``drain``: on disk, without the count of keys, which would read each key once more.
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+
 
 def windowed_usage(samples: DataFrame, width: str = "10 seconds", delay: str = "10 minutes", time: str = "ts", value: str = "value") -> DataFrame:
     """start, n, avg and max of each tumbling window; windows close ``delay`` after their end."""
@@ -60,9 +66,36 @@ def change_points(frames: DataFrame, by: str = "screen", key: str = "frame", bit
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Run a stream over what there is now and return the rows of its memory table."""
-    w = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    """Run a stream over what there is now and return its rows.
+
+    Rows that are appended go to Parquet files of the shared folder, and the state lies in RocksDB on the executors' disks:
+    neither the driver nor a heap holds what grows with the input. Other modes, whose result is an aggregate, give the
+    memory table ``name``.
+    """
+    spark = stream.sparkSession
+    w = stream.writeStream.outputMode(mode).queryName(name).trigger(availableNow=True)
     if checkpoint:
         w = w.option("checkpointLocation", checkpoint)
-    w.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    if mode != "append":
+        w.format("memory").start().awaitTermination()
+        return spark.table(name)
+    path = new_path(spark, "drained")
+    if not checkpoint:
+        w = w.option("checkpointLocation", new_path(spark, "stream"))
+    with _settings(spark, STATE):
+        query = w.format("parquet").option("path", path).start()  # takes the settings along
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings as ``values`` for a while."""
+    old = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -139,6 +139,14 @@ def test_change_points(spark):
     assert [r.frame for r in streams.change_points(df).collect()] == [3]
 
 
+def test_drained_stream_is_not_in_the_driver(spark, tmp_path):
+    spark.range(3000).selectExpr("cast(id % 700 as string) as md5").repartition(3).write.parquet(str(tmp_path / "in"))
+    got = streams.drain(streams.new_blocks(spark.readStream.schema("md5 string").parquet(str(tmp_path / "in"))), "drained_test")
+    assert not spark.catalog.tableExists("drained_test")  # a memory table: rows in the driver
+    assert sorted(r.md5 for r in got.collect()) == sorted(str(i) for i in range(700))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("RocksDBStateStoreProvider") is False
+
+
 def test_disks():
     def kinds(k):
         d = catalog.sample_disk(k)
