@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftloom.functions.digests import halves
-
 PRIME = (1 << 61) - 1
 MAX = (1 << 31) - 1
 
@@ -28,26 +28,81 @@ def count_weight(size: int) -> Callable[[Column], Column]:
 WEIGHTS: dict[str, Callable[[Column], Column]] = {"log": log_weight, "one": lambda n: F.lit(1).cast("long"), "count": lambda n: n, "count4096": count_weight(4096), "power": lambda n: F.floor(F.pow(n, F.lit(0.7)))}
 
 
-def simhash128(features: DataFrame, by: tuple[str, ...], weight: str = "weight", digest: str = "md5") -> DataFrame:
+def simhash128(features: DataFrame, by: tuple[str, ...], weight: str = "weight", digest: str = "md5", whole: bool = False) -> DataFrame:
     """``by`` and simhash (32 hex digits): bit i is set if the signed weights of the digests' bits i sum above zero.
 
-    Each digest gives 64 rows of two signed weights, summed by bit and combined before the shuffle, so an object shuffles
-    at most 64 rows a task. (128 sums in one aggregation outgrow generated code and run several times slower.)
+    Each partition is sorted by object and summed in Arrow functions, then the sums (1 KB an object and partition) are
+    combined. ``whole``: each object's rows lie in one partition, so there is nothing to combine.
     """
-    hi, lo = halves(F.col(digest))
-    base = features.where(F.col(digest).isNotNull()).select(*by, F.col(weight).cast("long").alias("__w"), hi.alias("__hi"), lo.alias("__lo"))
-    each = base.select(*by, "__w", "__hi", "__lo", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("__i"))
-    signed = lambda h: F.sum(F.when(F.getbit(F.col(h), F.col("__i")) == 1, F.col("__w")).otherwise(-F.col("__w")))
-    sums = each.groupBy(*by, "__i").agg(signed("__hi").alias("__h"), signed("__lo").alias("__l"))
-    bit = lambda s: F.bit_or(F.when(F.col(s) > 0, F.expr("shiftleft(1L, __i)")).otherwise(F.lit(0).cast("long")))
-    packed = sums.groupBy(*by).agg(bit("__h").alias("__h"), bit("__l").alias("__l"))
-    return packed.select(*by, F.concat(*[F.lower(F.lpad(F.hex(F.col(c)), 16, "0")) for c in ("__h", "__l")]).alias("simhash"))
+    keys = ", ".join(f"`{c}` {features.schema[c].dataType.simpleString()}" for c in by)
+    base = features.where(F.col(digest).isNotNull()).select(*by, F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("__w"), F.unhex(F.substring(digest, 1, 32)).alias("__d"))
+    if whole:
+        return base.sortWithinPartitions(*by).mapInArrow(_summed(by, _weighted, _digits), f"{keys}, simhash string")
+    sums = base.sortWithinPartitions(*by).mapInArrow(_summed(by, _weighted, _packed), f"{keys}, __s binary")
+    n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sums.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(_summed(by, _unpacked, _digits), f"{keys}, simhash string")
+
+
+def _bytes(column: pa.Array, size: int) -> np.ndarray:
+    """A row of ``size`` bytes for each value of a binary column."""
+    fixed = column.cast(pa.binary(size))
+    return np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * size : (fixed.offset + len(fixed)) * size].reshape(-1, size)
+
+
+def _weighted(b: pa.RecordBatch) -> np.ndarray:
+    """The weights of a digest's set bits, and its weight."""
+    w = b.column("__w").to_numpy()[:, None]
+    return np.concatenate([np.unpackbits(_bytes(b.column("__d"), 16), axis=1) * w, w], axis=1)
+
+
+def _packed(sums: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes() for v in sums], pa.binary())
+
+
+def _unpacked(b: pa.RecordBatch) -> np.ndarray:
+    return _bytes(b.column("__s"), 129 * 8).view(np.int64)
+
+
+def _digits(sums: np.ndarray) -> pa.Array:
+    return pa.array([v.tobytes().hex() for v in np.packbits(2 * sums[:, :128] > sums[:, 128:], axis=1)])
+
+
+def _summed(by: tuple[str, ...], read: Callable, write: Callable, rows: int = 2048):
+    """Rows sorted by ``by`` -> one row for each run of equal ``by``: ``write`` of the sums of what ``read`` gives."""
+
+    def differ(a: pa.RecordBatch, b: pa.RecordBatch) -> np.ndarray:
+        each = [pc.coalesce(pc.not_equal(a.column(c), b.column(c)), pc.xor(pc.is_null(a.column(c)), pc.is_null(b.column(c)))) for c in by]
+        return np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in each])
+
+    def out(b: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in by), write(sums)], names=[*by, "out"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
+                starts = np.r_[0, np.flatnonzero(differ(b.slice(1), b.slice(0, b.num_rows - 1))) + 1]
+                sums = np.add.reduceat(read(b), starts, axis=0)
+                if last is not None:
+                    if differ(key, b.slice(0, 1))[0]:
+                        yield out(key, last[None])
+                    else:
+                        sums[0] += last
+                if len(starts) > 1:
+                    yield out(b.take(pa.array(starts[:-1])), sums[:-1])
+                key, last = b.slice(int(starts[-1]), 1), sums[-1]
+        if last is not None:
+            yield out(key, last[None])
+
+    return run
 
 
 def block_simhash(blocks: DataFrame, by: tuple[str, ...], weight: str = "log", everyone: DataFrame | None = None) -> DataFrame:
     """SimHash of each object's distinct digests, weighted by their counts. ``everyone`` adds objects without features."""
-    counted = blocks.groupBy(*by, "md5").agg(F.count("*").alias("n"))
-    got = simhash128(counted.withColumn("weight", WEIGHTS[weight](F.col("n"))), by)
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = blocks.select(*by, "md5").repartition(n, *by).groupBy(*by, "md5").agg(F.count("*").alias("n"))
+    got = simhash128(counted.withColumn("weight", WEIGHTS[weight](F.col("n"))), by, whole=True)
     if everyone is None:
         return got
     return everyone.select(*by).distinct().join(got, list(by), "left").select(*by, F.coalesce("simhash", F.lit("0" * 32)).alias("simhash"))

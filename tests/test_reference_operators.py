@@ -42,6 +42,22 @@ def test_simhash_golden(spark):
     assert sim(spark, Z + Z) == "0" * 32
 
 
+def test_simhash_sums_against_brute_force(spark):
+    rng = np.random.RandomState(3)
+    rows = [(int(k) if k else None, rng.bytes(16).hex() if rng.rand() < 0.95 else None, int(rng.randint(0, 9))) for k in rng.randint(0, 12, 6000)]
+    sums: dict = {}
+    for k, d, w in rows:
+        if d:
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex(d), np.uint8)).astype(int)
+            sums[k] = sums.get(k, 0) + (2 * bits - 1) * w
+    want = {k: np.packbits(v > 0).tobytes().hex() for k, v in sums.items()}
+    df = spark.createDataFrame(rows, "k long, md5 string, weight long").repartition(3)
+    out = S.simhash128(df, ("k",))
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()  # 64 rows a digest
+    assert {r.k: r.simhash for r in out.collect()} == want
+    assert {r.k: r.simhash for r in S.simhash128(df.coalesce(1), ("k",), whole=True).collect()} == want
+
+
 def test_blank_digests_and_tail(spark):
     assert spark.range(1).select(digests.blank_digest(4096).alias("d")).first()["d"] == "620f0b67a91f7f74151bc5be745b7110"
     r = B.layout(frame(spark, [A * 3 + b"x" * 17]), 4096).first()
@@ -126,6 +142,26 @@ def test_banded_pairs_equal_theta(spark):
     assert band == every and band
 
 
+def test_wide_pairs_chunk_by_chunk(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST", 64)  # several chunks
+    rng = np.random.RandomState(1)
+    base = rng.randint(0, 2, (30, 128))
+    rows = []
+    for i in range(500):
+        b = base[i % 30].copy()
+        b[rng.randint(0, 128, rng.randint(0, 25))] ^= 1
+        rows.append((i * 7 % 500, np.packbits(b).tobytes().hex()))
+    df = spark.createDataFrame([*rows, (900, rows[0][1]), (901, rows[0][1]), (902, None)], "id long, simhash string")
+    out = P.hamming_pairs(df, 20)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()  # rows of all pairs
+    got = [(r.a, r.b, r.distance) for r in out.collect()]
+    every = [(r.a, r.b, r.distance) for r in P.hamming_pairs(df, None).where("distance <= 20").collect()]
+    assert sorted(got) == sorted(every) and (900, 901, 0) in got and len(got) > 500
+    names = P.hamming_pairs(df.selectExpr("cast(id as string) as id", "simhash"), 20)
+    assert sorted((r.a, r.b, r.distance) for r in names.collect()) == sorted((*sorted((str(a), str(b))), d) for a, b, d in every)
+    assert P.hamming_pairs(df.limit(0), 20).count() == 0
+
+
 def test_file_groups(spark):
     rows = [("d", 1, "/a", None, 5), ("d", 1, "/b", None, 5), ("d", 2, "/c", None, 5), ("d", 1, "/l", "s", 5)]
     r = D.file_groups(spark.createDataFrame(rows, "digest string, inode long, path string, link string, size long")).first()
