@@ -162,6 +162,20 @@ def test_wide_pairs_chunk_by_chunk(spark, monkeypatch):
     assert P.hamming_pairs(df.limit(0), 20).count() == 0
 
 
+def test_dbscan_weights_stand_for_copies(spark):
+    rng = np.random.RandomState(2)
+    place = [int(x) for x in rng.randint(0, 60, 80)]
+    every = spark.createDataFrame([(i,) for i in range(80)], "id long")
+    pairs = spark.createDataFrame([(i, j, abs(place[i] - place[j])) for i in range(80) for j in range(i + 1, 80)], "a long, b long, distance int")
+    first = {p: place.index(p) for p in place}
+    few = spark.createDataFrame([(i, place.count(p)) for p, i in first.items()], "id long, n long")
+    less = pairs.where(F.col("a").isin(list(first.values())) & F.col("b").isin(list(first.values())))
+    for least in (1, 2, 5):
+        want = {r.id: r.label for r in C.dbscan(every, pairs, 1, least).collect()}
+        got = {r.id: r.label for r in C.dbscan(few, less, 1, least, weight="n").collect()}
+        assert want == {i: got[first[p]] for i, p in enumerate(place)}
+
+
 def test_file_groups(spark):
     rows = [("d", 1, "/a", None, 5), ("d", 1, "/b", None, 5), ("d", 2, "/c", None, 5), ("d", 1, "/l", "s", 5)]
     r = D.file_groups(spark.createDataFrame(rows, "digest string, inode long, path string, link string, size long")).first()
