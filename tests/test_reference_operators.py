@@ -128,6 +128,20 @@ def test_affinity_groups():
     assert C.mean_shift_labels(x[:, None].astype(float), 10).tolist() == [0, 0, 0, 1, 1, 1]
 
 
+def test_affinity_of_large_groups_is_shared(spark):
+    rng = np.random.RandomState(4)
+    base = rng.randint(0, 2, (6, 128))
+    rows = []
+    for i in range(90):
+        b = base[i % 6].copy()
+        b[rng.randint(0, 128, rng.randint(1, 12))] ^= 1
+        rows.append((i % 2 if i < 80 else 2, i, np.packbits(b).tobytes().hex()))
+    df = spark.createDataFrame(rows, "cluster int, id long, simhash string")
+    one = {(r.cluster, r.id): r.label for r in C.affinity(df, preference=-60.0).collect()}
+    assert len(one) == 90 and len({v for (c, _), v in one.items() if c == 0}) > 1
+    assert {(r.cluster, r.id): r.label for r in C.affinity(df, preference=-60.0, max_points=20).collect()} == one  # refused before
+
+
 def test_banded_pairs_equal_theta(spark):
     rng = np.random.RandomState(0)
     base = rng.randint(0, 2, 128)
