@@ -318,6 +318,63 @@ def test_recall_against_brute_force(spark):
     assert len(want) >= 25 and len(got & set(want)) >= 0.9 * len(want)
 
 
+def test_edited_passages_whatever_holds_their_parts(spark):
+    """Every part of an edited passage is in an earlier document and again in one between; verbatim runs hold it in part, too."""
+    t, want = [], set()
+    for i in range(12):
+        p = words(75, 8000 + i)
+        every, where = 5 + i % 4, i % 3
+        own = [f"zz{j}" if j % every == every - 1 else w for j, w in enumerate(p)]
+        parts = [own[j : j + every - 1] for j in range(0, 75, every)]
+        beside = lambda k: [words(30, 20_000 + 1000 * i + 40 * k + j) + q + words(30, 60_000 + 1000 * i + 40 * k + j) for j, q in enumerate(parts)]  # noqa: B023, E731
+        t += beside(0) + [words(20, 8100 + i) + p + words(15, 8200 + i)]
+        want.add((len(t) + len(parts), len(t) - 1))
+        t += [*beside(1), words(25, 8300 + i) * (where != 1) + own + words(35, 8400 + i) * (where != 2)]
+    d = docs(spark, [" ".join(x) for x in t])
+    found = substrings.passages(d.repartition(5)).collect()
+    assert {(r.doc_id, r.other_id) for r in found if r.end - r.start >= 70} == want
+    for r in found:
+        ai, _ = substrings.align(t[r.doc_id][r.start : r.end], t[r.other_id][r.other_start : r.other_end])
+        assert len(ai) >= 0.8 * max(r.end - r.start, r.other_end - r.other_start) - 1e-6
+    left = {r.doc_id: len(r.text.split()) for r in substrings.drop_passages(d).collect()}
+    assert all(left.get(doc, 0) <= len(t[doc]) - 70 for doc, _ in want)
+
+
+def test_packed_grams_come_back():
+    r = np.random.RandomState(86)
+    n = 500
+    docs = np.unique(r.randint(-(1 << 62), 1 << 62, (40, 2)), axis=0)
+    rows = (r.randint(0, 40, n), r.randint(0, 1 << 48, n).astype(np.uint64), r.randint(0, 70_000, n), r.randint(-2, 9, n))
+    packed = [substrings._pack(np.arange(7), rows[1][part] % np.uint64(7), docs, *(v[part] for v in rows)) for part in (slice(0, 260), slice(260, n))]
+    own, *got = substrings._unpack(packed)
+    want = sorted((*docs[d].tolist(), int(h), p, x) for d, h, p, x in zip(*rows, strict=True))
+    assert sorted((*own[d].tolist(), int(h), p, x) for d, h, p, x in zip(*(v.tolist() for v in got), strict=True)) == want
+    assert substrings._unpack([]) is None
+
+
+def test_rare_grams_equal_brute_force():
+    """A k-mer is chosen if it is among the least frequent of some window that has enough of them and is not known."""
+    r = random.Random(85)
+    for _ in range(60):
+        n, reach, shared = r.randint(1, 90), r.choice([12, 20]), r.choice([3, 8])
+        size, most = reach - substrings.GRAM + 1, max(shared - substrings.SHARED, 0)
+        pos = sorted(r.sample(range(n), r.randint(1, n)))
+        kinds = {p: r.randint(1, 30) for p in pos}
+        count = {p: 2 + kinds[p] % 7 for p in pos}
+        covered = [(s, s + r.randint(1, 40), r.random() < 0.5) for s in r.sample(range(n), min(n, 3))]
+        words_of = lambda p: range(p, p + substrings.GRAM)
+        free = [p for p in pos if not any(v and s <= p and p + substrings.GRAM <= e for s, e, v in covered)]
+        fresh = {p for p in free if any(not any(s <= x < e for s, e, _ in covered) for x in words_of(p))}
+        want = dict.fromkeys(pos, 0)
+        for w in range(max(max(pos) + 1 - size, 0) + 1):
+            own = [p for p in free if w <= p < w + size]
+            for p in own if len(own) >= shared else []:
+                if sum((count[q], kinds[q]) >= (count[p], kinds[p]) for q in own) > most:
+                    want[p] = max(want[p], 2 if fresh & set(own) else 1)
+        got = substrings._rare(np.array([kinds[p] for p in pos], np.uint64), np.array(pos, np.int32), np.array([count[p] for p in pos], np.int32), covered, reach, shared)
+        assert got.tolist() == [want[p] for p in pos]
+
+
 def brute_common(x, y):
     n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, v in enumerate(x):
