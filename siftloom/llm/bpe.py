@@ -24,7 +24,10 @@ from pyspark.sql import types as T
 from siftloom.llm.arrow import per_row, texts, tidy
 
 #: Entries of a worker's memories; chunks, pieces and pairs of tokens have two generations of so many.
-CHUNKS, PIECES, PAIRS, MOVES = 300_000, 50_000, 400_000, 200_000
+CHUNKS, PIECES, PAIRS, MOVES, STEMS = 600_000, 50_000, 400_000, 200_000, 200_000
+#: Tables of a piece's beginning are remembered at every STEM bytes, up to STEM_END.
+STEM, STEM_END = 3, 24
+MARKS = frozenset("!\"#%&()*,-./:;?@[\\]_{}'")
 
 #: A pattern whose pieces hold a space before a non-space only as their first byte, so that texts can be cut there.
 SPACE_FIRST = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,6 +67,7 @@ class Codec:
         self.pairs = _Memo(lambda key: self._apart(self.bytes_of[key >> 32], self.bytes_of[key & 0xFFFFFFFF]), int(PAIRS * memory))
         self.moves = _Memo(lambda key: self._move(self.heads[key >> 8] + bytes((key & 255,))), int(MOVES * memory))
         self.ending = _Memo(self._ending, int(PAIRS * memory))
+        self.stems = _Memo(self._stem, int(STEMS * memory))
 
     @cached_property
     def names(self) -> list[str]:
@@ -93,6 +97,8 @@ class Codec:
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         if chunk.isalpha():  # a space and letters are one piece
             return tuple(self.encode_piece(b" " + chunk.encode()))
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():  # two pieces; a mark alone begins none of the pattern's endings
+            return self.chunks[chunk[:-1]] + self.pieces[chunk[-1]]
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(" " + chunk))))
 
     def _merge(self, data: bytes, seam: int = 0) -> list[int] | None:
@@ -121,9 +127,13 @@ class Codec:
 
     def fill(self, data: bytes, last: list[int]) -> None:
         """Extend ``last`` (last[i]: the last token of data[:i]; last[0] is -1) to all of ``data``."""
+        i = len(last)
+        self._fill(data, last, self._move(data[: i - 1][-max(self.sizes) :]) if i > 1 else 0)
+
+    def _fill(self, data: bytes, last: list[int], state: int) -> int:
+        """``fill`` from the automaton's state at the end of ``last``; the state at the end of ``data``."""
         moves, ending, sizes, pairs = self.moves, self.ending, self.sizes, self.pairs
         i = len(last)
-        state = self._move(data[: i - 1][-max(sizes) :]) if i > 1 else 0
         for byte in data[i - 1 :]:
             state = moves[state << 8 | byte]
             for t in ending[state]:
@@ -134,19 +144,30 @@ class Codec:
                 raise ValueError(f"no token ends at byte {i} of {data[:i][-20:]!r}")
             last.append(t)
             i += 1
+        return state
+
+    def _stem(self, data: bytes) -> tuple[int, tuple[int, ...]]:
+        """State and table of a piece's beginning, from those of its own beginning: pieces share them."""
+        cut = (len(data) - 1) // STEM * STEM
+        state, table = self.stems[data[:cut]] if cut else (0, (-1,))
+        last = list(table)
+        return self._fill(data, last, state), tuple(last)
 
     def walk(self, data: bytes, last: list[int]) -> list[int]:
-        out, i = [], len(data)
+        out, i, sizes = [], len(data), self.sizes
         while i:
-            out.append(last[i])
-            i -= len(self.bytes_of[last[i]])
+            t = last[i]
+            out.append(t)
+            i -= sizes[t]
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        last = [-1]
-        self.fill(data, last)
+        cut = min((len(data) - 1) // STEM * STEM, STEM_END)
+        state, table = self.stems[data[:cut]] if cut > 0 else (0, (-1,))
+        last = list(table)
+        self._fill(data, last, state)
         return self.walk(data, last)
 
     def encode(self, text: str | None) -> list[int]:

@@ -246,6 +246,30 @@ def test_vectors_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
 
+def test_pieces_share_the_tables_of_their_beginnings(monkeypatch):
+    with open(PT.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = bpe.read_ranks(f.read())
+    stem = "qvxzjkwqvxzjkw"
+    pieces = [" " + stem + "xqjzvkw" * 9, *(f" {stem}{a}{b}" for a in "abcd" for b in "xyz"), " " + stem[:5], " é" + stem, " " + "zq" * 300]
+    plain, small, codec = (bpe.Codec(ranks, PT.PATTERN, m) for m in (1, 0.0001, 1))
+    want = []
+    for piece in pieces:
+        last = [-1]
+        plain.fill(piece.encode(), last)
+        want.append(plain.walk(piece.encode(), last))
+    filled = []
+    fill = codec._fill
+    monkeypatch.setattr(codec, "_fill", lambda data, last, state: filled.append(len(data) + 1 - len(last)) or fill(data, last, state))
+    for one in (small, codec):
+        assert [one.encode_piece(p.encode()) for p in pieces] == want
+    assert sum(filled[-999:]) < sum(len(p.encode()) for p in pieces) - 8 * 12
+    marked = [f"{w}{m}" for w in ("word", "qvxzj", "é") for m in "'.,!?;:)/\"-" + "'s"] + ["a'", "a''", "it's", "x’", "a1.", "1.", "."]
+    for word in marked:
+        text = f"go {word} on"
+        assert codec.encode(text) == [t for p in codec.split(text) for t in plain.encode_piece(p.encode())]
+
+
+
 # 8 -------------------------------------------------------------------------------------------------------------------
 
 
