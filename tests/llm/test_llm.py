@@ -10,6 +10,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers as PT
 import pytest
 import tiktoken
@@ -399,6 +401,58 @@ def test_rare_grams_equal_brute_force():
         assert got.tolist() == [want[p] for p in pos]
 
 
+@pytest.mark.parametrize("held", [1 << 20, 40])
+def test_spots_equal_brute_force(monkeypatch, held):
+    """Every k-mer that looks for others meets all of earlier documents; spots are where enough of them lie close together."""
+    monkeypatch.setattr(substrings, "BATCH", held)
+    r, reach, shared, keys = random.Random(87), 12, 8, np.arange(3)
+    for _ in range(25):
+        names = np.array(sorted((r.randint(-9, 9), r.randint(-(1 << 62), 1 << 62)) for _ in range(r.randint(2, 7))))
+        line = [r.randint(1, 30) for _ in range(15)]
+        rows = [(d, k, p, r.choice([1, 2, 2])) for d in range(len(names)) for p, k in enumerate(r.choice(line) if r.random() < 0.2 else line[v % 15] for v in range(r.randint(0, 60))) if r.random() < 0.8]
+        want = set()
+        for d, o in ((d, o) for d in range(len(names)) for o in range(d)):
+            matches = [(p, q) for e, k, p, x in rows for f, g, q, _ in rows if (e, f) == (d, o) and k == g and x == 2]
+            bands = {(q - p) // reach for p, q in matches}
+            for band in bands:
+                own = [(p, q) for p, q in matches if (q - p) // reach in (band, band + 1)]
+                at = sorted({p for p, _ in own})
+                near = sorted({p for i in range(len(at) - substrings.SHARED + 1) if at[i + substrings.SHARED - 1] - at[i] < reach for p in at[i : i + substrings.SHARED]})
+                cuts = [0, *(i for i in range(1, len(near)) if near[i] - near[i - 1] >= reach), len(near)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a < b:
+                        q = [q for p, q in own if near[a] <= p <= near[b - 1]]
+                        want.add((*names[d].tolist(), *names[o].tolist(), near[a], near[b - 1] + substrings.GRAM, min(q), max(q) + substrings.GRAM))
+        d, k, p, x = (np.array(v) for v in zip(*rows, strict=True)) if rows else (np.zeros(0, int),) * 4
+        packed = [substrings._pack(keys, k.astype(np.uint64) * 0, names, d, k.astype(np.uint64), p, x)] if rows else []
+        meets = list(substrings._partners(keys)(iter(packed)))
+        # by partition, as the shuffle deals them
+        dealt = [[b.filter(pa.compute.equal(b.column("b"), int(key))) for b in meets] for key in keys]
+        got = [b for part in dealt for b in substrings._spots(reach, shared)(iter([b for b in part if b.num_rows]))]
+        assert sorted(tuple(v.values()) for b in got for v in b.to_pylist()) == sorted(want)
+
+
+def test_repeats_travel_as_positions():
+    """A k-mer that two documents repeat n and m times travels as n + m positions, not as n m matches."""
+    n, m = 300, 400
+    names = np.array([[1, 1], [2, 2]])
+    d = np.r_[np.zeros(m, int), np.ones(n, int)]
+    packed = substrings._pack(np.arange(1), np.zeros(n + m, np.uint64), names, d, np.full(n + m, 7, np.uint64), np.r_[np.arange(m), np.arange(n)], np.full(n + m, 2))
+    meets = list(substrings._partners(np.arange(1))(iter([packed])))
+    assert sum(b.num_rows for b in meets) == 1 and sum(b.nbytes for b in meets) < 10 * (n + m)
+
+
+def test_spots_that_begin_alike(spark):
+    """Two spots of one pair with the same beginnings are aligned each on its own, whatever the order of rows."""
+    p = words(120, 88)
+    d = substrings._keyed(docs(spark, [" ".join(p + words(90, 89)), " ".join(p)]), "doc_id", "text").cache()
+    th = {r.doc_id: r.th for r in d.collect()}
+    spots = [(1, th[1], 0, th[0], 0, 60, 0, 60), (1, th[1], 0, th[0], 0, 120, 0, 120), (1, th[1], 0, th[0], 0, 120, 0, 190)]
+    kinds = "doc_id long, th long, adoc long, ath long, s int, e int, os int, oe int"
+    found = [sorted((r.end, r.other_end) for r in substrings._aligned(d, spark.createDataFrame(x, kinds), 50, 0.8, 0).collect()) for x in (spots, spots[::-1])]
+    assert found[0] == found[1] == [(60, 60), (120, 120), (120, 120)]
+
+
 def brute_common(x, y):
     n = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i, v in enumerate(x):
