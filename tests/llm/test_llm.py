@@ -378,6 +378,20 @@ def test_packed_grams_come_back():
     assert substrings._unpack([]) is None
 
 
+def test_shared_grams_leave_in_parts(monkeypatch):
+    """A partition's shared k-mers leave in bounded parts, by document and position, and none is lost."""
+    monkeypatch.setattr(substrings, "PACK", 50)
+    r, keys = np.random.RandomState(90), np.arange(3)
+    names = np.stack([np.arange(20), r.randint(-(1 << 62), 1 << 62, 20)], 1)
+    d, k, p = r.randint(0, 20, 600), r.randint(0, 150, 600).astype(np.uint64), r.randint(0, 9000, 600)
+    out = list(substrings._shared(keys)(iter([substrings._pack(keys, k * 0, names, d, k, p, p * 0)])))
+    own, doc, h, pos, x = substrings._unpack(out)
+    of = {v: [int(a) for a, b in zip(d, k, strict=True) if b == v] for v in k}
+    want = sorted((*names[a].tolist(), int(b), int(c), len(of[b])) for a, b, c in zip(d, k, p, strict=True) if len(set(of[b])) > 1)
+    assert sorted((*own[a].tolist(), *map(int, row)) for a, *row in zip(doc, h, pos, x, strict=True)) == want
+    assert max(len(v) // 8 for b in out for v in b.column("h").to_pylist()) <= 50 < len(want)
+
+
 def test_rare_grams_equal_brute_force():
     """A k-mer is chosen if it is among the least frequent of some window that has enough of them and is not known."""
     r = random.Random(85)
