@@ -456,6 +456,22 @@ def test_repeats_travel_as_positions():
     assert sum(b.num_rows for b in meets) == 1 and sum(b.nbytes for b in meets) < 10 * (n + m)
 
 
+def test_release_frees_shuffles(spark, tmp_path):
+    """When it returns, the shuffle files of a finished job are gone."""
+    from siftloom.session import release
+
+    def held() -> set[str]:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for i in range(files.length()) if (f := files.apply(i).getName()).startswith("shuffle_")}
+
+    release(spark)
+    before = held()
+    spark.range(1000).repartition(3, "id").mapInArrow(lambda x: x, "id long").write.parquet(str(tmp_path / "x"))
+    assert held() - before
+    release(spark)
+    assert not held() - before
+
+
 def test_spots_that_begin_alike(spark):
     """Two spots of one pair with the same beginnings are aligned each on its own, whatever the order of rows."""
     p = words(120, 88)
