@@ -1,5 +1,6 @@
 """The training-data operators against brute force, exact round trips and edge cases."""
 
+import collections
 import hashlib
 import pickle
 import random
@@ -446,6 +447,67 @@ def test_spots_equal_brute_force(monkeypatch, held):
         assert sorted(tuple(v.values()) for b in got for v in b.to_pylist()) == sorted(want)
 
 
+def _spots_of(t: list[list[int]], reach: int, shared: int) -> list[dict]:
+    """Spots of documents given as k-mers by position, by all steps of the second round."""
+    keys, names = np.arange(1), np.array([[i, 7 * i] for i in range(len(t))])
+    d, p = np.repeat(np.arange(len(t)), [len(x) for x in t]), np.concatenate([np.arange(len(x)) for x in t])
+    every = substrings._pack(keys, p * 0, names, d, np.concatenate(t).astype(np.uint64), p, p * 0)
+    chosen = list(substrings._chosen(keys, reach, shared)(substrings._shared(keys)(iter([every]))))
+    return [r for b in substrings._spots(reach, shared)(substrings._partners(keys)(iter(chosen))) for r in b.to_pylist()]
+
+
+def test_short_runs_of_one_word_are_no_spots():
+    """13 3-word shingles of one word are too few of the 18 that must meet, if a window holds no more frequent ones; 30 are enough."""
+    r = random.Random(91)
+    runs = lambda n: [[r.randint(100, 1 << 40) for _ in range(70)] + [5] * n + [r.randint(100, 1 << 40) for _ in range(70)] for _ in range(8)]
+    assert not _spots_of(runs(13), 62, 18)  # a spot for each pair before
+    assert not _spots_of([*runs(13), *runs(30)[:1]], 62, 18)  # as many positions, but the other side has no room
+    assert {(x["doc_id"], x["adoc"]) for x in _spots_of(runs(30), 62, 18)} == {(i, j) for i in range(8) for j in range(i)}
+
+
+def test_windows_that_share_enough_are_spots():
+    """Whatever else documents hold, two windows that share ``shared`` k-mers in order give a spot there."""
+    r, reach, shared = random.Random(92), 22, 10
+    met = 0
+    for _ in range(60):
+        often = lambda: r.choice([1, 1, 1, 2, 2, 3, 4]) if r.random() < 0.5 else r.randint(5, 60)  # noqa: B023, E731
+        t = [[often() for _ in range(r.randint(30, 90))] for _ in range(6)]
+        for d in range(1, 6):  # a window of an earlier document, with edits
+            a = t[r.randrange(d)]
+            at, n, own = r.randrange(len(a) - 20), 20, r.randrange(len(t[d]) - 20)
+            t[d][own : own + n] = [often() if r.random() < 0.4 else k for k in a[at : at + n]]
+        got = collections.defaultdict(list)
+        for x in _spots_of(t, reach, shared):
+            got[x["doc_id"], x["adoc"]].append((x["s"], x["e"]))
+        for d, o in ((d, o) for d in range(6) for o in range(d)):
+            for p, q in ((p, q) for p in range(len(t[d]) - 19) for q in range(len(t[o]) - 19)):
+                if sum(x == y for x, y in zip(t[d][p : p + 20], t[o][q : q + 20], strict=True)) >= shared:
+                    met += 1
+                    assert any(s < p + 20 + 2 and p < e for s, e in got[d, o]), (d, o, p, q)
+    assert met > 300
+
+
+def test_first_round_frees_its_seeds(spark, monkeypatch):
+    """Seeds go to their matches by halves, and are gone when the matches are dealt out to be chained."""
+    import os
+
+    made, there = [], []
+    real = substrings.materialize
+
+    def stored(df, tag, *more):
+        there.append((tag, [t for t, x in made if os.path.exists(x)]))
+        out = real(df, tag, *more)
+        made.append((tag, out._siftloom_path.removeprefix("file://")))
+        return out
+
+    monkeypatch.setattr(substrings, "materialize", stored)
+    p = words(80, 93)
+    found = substrings.passages(docs(spark, [" ".join(words(30, 94) + p), " ".join([*p[:40], "x", *p[41:]]), " ".join(p)])).collect()
+    assert {(1, 0), (2, 0)} <= {(r.doc_id, r.other_id) for r in found}
+    at = dict(there)["chains"]
+    assert "seeds" not in at and at.count("matches") == 2  # before: the seeds and one table of all matches
+
+
 def test_repeats_travel_as_positions():
     """A k-mer that two documents repeat n and m times travels as n + m positions, not as n m matches."""
     n, m = 300, 400
