@@ -459,10 +459,17 @@ def _spots_of(t: list[list[int]], reach: int, shared: int) -> list[dict]:
 def test_short_runs_of_one_word_are_no_spots():
     """13 3-word shingles of one word are too few of the 18 that must meet, if a window holds no more frequent ones; 30 are enough."""
     r = random.Random(91)
-    runs = lambda n: [[r.randint(100, 1 << 40) for _ in range(70)] + [5] * n + [r.randint(100, 1 << 40) for _ in range(70)] for _ in range(8)]
-    assert not _spots_of(runs(13), 62, 18)  # a spot for each pair before
-    assert not _spots_of([*runs(13), *runs(30)[:1]], 62, 18)  # as many positions, but the other side has no room
-    assert {(x["doc_id"], x["adoc"]) for x in _spots_of(runs(30), 62, 18)} == {(i, j) for i in range(8) for j in range(i)}
+
+    def pairs(*sizes: int) -> set[tuple[int, int]]:
+        rest = [[r.randint(100, 1 << 40) for _ in range(140)] for _ in sizes]
+        pool = sum(rest, [])  # document 0, so that other shingles are shared as well
+        r.shuffle(pool)
+        t = [pool, *(x[:70] + [5] * n + x[70:] for x, n in zip(rest, sizes, strict=True))]
+        return {(x["doc_id"], x["adoc"]) for x in _spots_of(t, 62, 18) if x["adoc"]}
+
+    assert not pairs(*[13] * 8)  # a spot for each pair before
+    assert not pairs(*[13] * 8, 30)  # as many positions, but the other side has no room
+    assert pairs(*[30] * 8) == {(i, j) for i in range(1, 9) for j in range(1, i)}
 
 
 def test_windows_that_share_enough_are_spots():
